@@ -33,10 +33,14 @@ def map_columns(df: DataFrame, function: Callable[..., dict], schema: str) -> Da
     The function runs once per slice of at most about 4 MB of input (one row at least), so neither very long texts
     nor many rows at a time raise a worker's memory beyond a few times the longest text.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL(schema)
+    return map_rows(df, function, StructType.fromDDL(schema))
+
+
+def map_rows(df: DataFrame, function: Callable[..., dict], fields) -> DataFrame:
+    """map_columns with the result's StructType."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(fields)
