@@ -1,0 +1,35 @@
+"""Connected components by alternating large-star and small-star rounds over an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from helixframe.llm.common import stash
+
+
+def _star(arcs: DataFrame, keep) -> DataFrame:
+    """arcs (u, v): for each u the least of u and its v; keeps the arcs that `keep` names, hung from that least node."""
+    least = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return keep(arcs.join(least, "u"))
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) for every node that has an edge; root is the component's least node.
+
+    edges: (a, b) of one orderable type; repeats, both directions and loops are allowed. Each round costs two
+    aggregations and joins on the edge table and is checkpointed in the shared folder; no links come to the driver
+    but their count and a checksum, which tell when nothing changes any more.
+    """
+    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    for _ in range(rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _star(both, lambda x: x.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _star(large, lambda x: x.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(x.select("u", F.col("m").alias("v"))))
+        now = stash(small.where("u <> v").distinct())
+        last, state = state, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+        if state == last:
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["toxicity", "secrets", "pii", "packing", "decontaminate"]
+_MODULES = ["toxicity", "secrets", "simhash", "pii", "packing", "decontaminate"]
 
 
 def _modules():
