@@ -27,6 +27,18 @@ def stash(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like stash, as compressed Parquet in the same shared folder: for large tables that are read more than once."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/helixframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def map_columns(df: DataFrame, function: Callable[..., dict], schema: str) -> DataFrame:
     """Applies `function(*columns as Python lists) -> {name: list}` to Arrow batches of df, in batches of bounded bytes.
 
