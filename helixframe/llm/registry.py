@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["toxicity", "secrets", "quality", "simhash", "pii", "packing", "substrings", "decontaminate"]
+_MODULES = ["toxicity", "secrets", "urls", "quality", "simhash", "pii", "packing", "html_text", "substrings", "decontaminate"]
 
 
 def _modules():
