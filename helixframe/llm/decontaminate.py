@@ -126,29 +126,33 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_sh
     parts = [Windows(block, n) for block in blocks(benchmark, 8 << 20)]
     word, fields = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), docs.schema
 
+    def cut(data: bytes) -> bytes | None:
+        """The text without hit stretches; None if too much of it is hit."""
+        while True:
+            hits = [h for w in parts if (h := w.scan(data)[1]) is not None]
+            if not hits:
+                return data
+            hit = np.logical_or.reduce(hits)
+            if hit.mean() > most_share:
+                return None
+            places = [m.span() for m in word.finditer(data.translate(LOWER))]
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+            pieces, at = [], 0
+            for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                pieces.append(data[at : places[first][0]].rstrip(b" "))
+                at = places[last - 1][1]
+            data = b"".join([*pieces, data[at:]])  # what now stands together is scanned again
+
     def run(*columns):
         out = dict(zip(fields.names, columns, strict=True))
-        keep = []
-        texts = list(out["text"])
+        keep, texts = [], list(out["text"])
         for k, text in enumerate(texts):
             data = (text or "").encode()
-            hits = [h for w in parts if (h := w.scan(data)[1]) is not None]
-            if hits:
-                hit = np.logical_or.reduce(hits)
-                if hit.mean() > most_share:
-                    continue
-                places = [m.span() for m in word.finditer(data.translate(LOWER))]
-                pieces, at, i = [], 0, 0
-                while i < len(hit):
-                    if hit[i]:
-                        j = i
-                        while j + 1 < len(hit) and hit[j + 1]:
-                            j += 1
-                        pieces.append(data[at : places[i][0]].rstrip(b" "))
-                        at, i = places[j][1], j
-                    i += 1
-                texts[k] = (b"".join(pieces) + data[at:]).decode()
-            keep.append(k)
+            kept = cut(data)
+            if kept is not None:
+                keep.append(k)
+                if len(kept) < len(data):
+                    texts[k] = kept.decode()
         out["text"] = texts
         if "n_chars" in out:
             out["n_chars"] = [c if t is None else len(t) for c, t in zip(out["n_chars"], texts, strict=True)]

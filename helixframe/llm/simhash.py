@@ -177,6 +177,14 @@ def classes(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int =
     return marked.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 6, groups: int = 9) -> DataFrame:
+    """docs, with all columns, of which the row with its class's least doc_id stays (of rows that repeat that id, one; rows without an id all stay)."""
+    found = classes(docs, shingle, distance, groups)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: class of every document."""
     found = classes(table(spark, sf_dir, "documents"))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_columns, table
+from helixframe.llm.common import map_columns, map_rows, table
 
 NAME = "op1_toxicity"
 ORACLE_SQL = None
@@ -145,6 +145,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    fields, weights, bias = docs.schema, model.weights, model.bias
+
+    def run(*columns):
+        words = run.__dict__.get("words")
+        if words is None:
+            words = run.words = Model(weights, bias).scorer()
+        named = dict(zip(fields.names, columns, strict=True))
+        keep = []
+        for k, text in enumerate(named["text"]):
+            z = np.array([sum(map(words.__getitem__, set(m.group().lower().split()))) for m in SENTENCE.finditer(text or "")], dtype=float) + bias
+            if not len(z) or -np.expm1(-np.logaddexp(0, np.clip(z, -40, 40)).sum()) < threshold:
+                keep.append(k)
+        return {name: [values[k] for k in keep] for name, values in named.items()}
+
+    return map_rows(docs, run, fields)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> DataFrame:
     """Trains on a bounded sample of labelled rows and scores every document."""
     return score(docs, train(sample(docs, labels, max_docs)))
