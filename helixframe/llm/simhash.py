@@ -23,7 +23,9 @@ a null component_id); repeated rows give a row each; an empty table gives none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +41,55 @@ ORACLE_SQL = None
 EVEN = 0x5555555555555555
 
 
-def fingerprint(data: bytes, shingle: int = 4) -> int:
-    """Unsigned 64-bit fingerprint of a text in UTF-8."""
+def shingles(data: bytes, shingle: int) -> tuple[Iterator[bytes], int]:
+    """The folded shingles of a text in UTF-8 and their number."""
     words = data.lower().split()
     if not words:
-        return 0
+        return iter(()), 0
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     size = min(shingle, len(words))
     joined = b" ".join(words)
     cuts = map(slice, starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), np.uint64, len(words) - size + 1)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return map(joined.__getitem__, cuts), len(words) - size + 1
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that more than half of the rows of bytes set."""
+    counts = np.zeros(8 * hashes.shape[1], dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprint(data: bytes, shingle: int = 4) -> int:
+    """Unsigned 64-bit fingerprint of a text in UTF-8."""
+    found, n = shingles(data, shingle)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), "<u8", n)
+    return int.from_bytes(majority(hashes.view(np.uint8).reshape(-1, 8)), "little")
+
+
+def fingerprint_pair(data: bytes, shingle: int) -> tuple[int, int]:
+    """Two independent 64-bit fingerprints from one XXH3 of 128 bits for each shingle."""
+    found, n = shingles(data, shingle)
+    bits = majority(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), np.uint8).reshape(-1, 16))
+    return int.from_bytes(bits[:8], "little"), int.from_bytes(bits[8:], "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, paired: bool = False) -> DataFrame:
+    """(doc_id, fp), paired also fp2, with the fingerprints as signed longs."""
 
     def run(ids, texts):
-        found = (fingerprint(t or b"", shingle) for t in texts)
-        return {"doc_id": ids, "fp": [f - (1 << 64) if f >> 63 else f for f in found]}
+        if paired:
+            found = [fingerprint_pair(t or b"", shingle) for t in texts]
+            return {"doc_id": ids, "fp": [signed(a) for a, _ in found], "fp2": [signed(b) for _, b in found]}
+        return {"doc_id": ids, "fp": [signed(fingerprint(t or b"", shingle)) for t in texts]}
 
-    return map_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id bigint, fp bigint")
+    return map_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id bigint, fp bigint" + ", fp2 bigint" * paired)
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -80,22 +105,37 @@ def group_masks(groups: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(fps: DataFrame, distance: int = 4, groups: int = 8) -> DataFrame:
-    """(a, b): a spanning set of the pairs of distinct fingerprints within `distance` bits."""
+def groups_for(n: int, distance: int, most: int = 16) -> int:
+    """The number of groups that makes the search cheapest for n fingerprints: a row to move costs about as much as
+    1000 comparisons, and a segment's count has 1.5 bits of entropy. The links found are the same for any number."""
+
+    def cost(groups: int) -> float:
+        kept = groups - distance
+        return comb(groups, kept) * (1 + n / 2 ** (48 * kept / groups) / 1000)
+
+    return min(range(distance + 1, max(most, distance + 1) + 1), key=cost)
+
+
+def links(fps: DataFrame, distance: int = 4, groups: int = 8, second: int | None = None) -> DataFrame:
+    """(a, b): a spanning set of the pairs of distinct fingerprints within `distance` bits.
+
+    second: pairs must also be within so many bits by their second fingerprints, the column fp2.
+    """
     masks = group_masks(groups)
     choices = [sum(masks[i] for i in chosen) for chosen in combinations(range(groups), groups - distance)]
+    more = [] if second is None else ["fp2"]
 
     def cells(batches):
         odd = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            whole = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(whole), 8192):
-                fp = whole[at : at + 8192]
-                u = embed(fp)
+            whole = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+            for at in range(0, len(whole[0]), 8192):
+                part = [x[at : at + 8192] for x in whole]
+                u = embed(part[0])
                 # an odd multiple of the masked counts is one-to-one; the choice is a column of its own
                 key = np.concatenate([((u & np.uint64(m)) * odd).view(np.int64) for m in choices])
-                which = np.repeat(np.arange(len(choices), dtype=np.int16), len(fp))
-                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(key), pa.array(np.tile(fp.view(np.int64), len(choices)))], names=["choice", "cell", "fp"])
+                which = np.repeat(np.arange(len(choices), dtype=np.int16), len(u))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (which, key, *(np.tile(y.view(np.int64), len(choices)) for y in part))], names=["choice", "cell", "fp", *more])
 
     def verify(batches):
         held = None
@@ -103,83 +143,94 @@ def links(fps: DataFrame, distance: int = 4, groups: int = 8) -> DataFrame:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            choice, cell, fp = now
+            choice, cell, *codes = now
             if not len(cell):
                 continue
             new = np.flatnonzero((choice[1:] != choice[:-1]) | (cell[1:] != cell[:-1])) + 1
             cut = int(new[-1]) if len(new) else 0  # the last cell may go on in the next batch
             held = [x[cut:].copy() for x in now]
-            yield from found(fp[:cut], np.concatenate(([0], new)) if len(new) else new)
+            yield from found([x[:cut] for x in codes], np.concatenate(([0], new)) if len(new) else new)
         if held is not None:
-            yield from found(held[2], np.array([0, len(held[2])]))
+            yield from found(held[2:], np.array([0, len(held[2])]))
 
-    def found(fp, bounds):
-        if not len(fp):
+    def found(codes, bounds):
+        if not len(codes[0]):
             return
-        fp = fp.view(np.uint64)
-        a, b = cell_links(fp, bounds, distance)
+        a, b = cell_links([x.view(np.uint64) for x in codes], bounds, distance, second)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    grid = fps.select("fp").mapInArrow(cells, "choice smallint, cell bigint, fp bigint")
+    grid = fps.select("fp", *more).mapInArrow(cells, "choice smallint, cell bigint, fp bigint" + ", fp2 bigint" * len(more))
     grid = grid.repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
     return grid.mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def close(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, distance: int) -> np.ndarray:
-    """Indexes of the pairs within `distance` bits; the embedding's Manhattan distance sieves first."""
-    near = np.flatnonzero(np.bitwise_count(ua ^ ub) <= distance)
-    return near[np.bitwise_count((a[near] if a.ndim else a) ^ b[near]) <= distance]
+def close(a: list[np.ndarray], b: list[np.ndarray], distance: int, second: int | None) -> np.ndarray:
+    """Indexes of the linked pairs of (fingerprint, embedding, second fingerprint, if any): the embedding's Manhattan
+    distance sieves first."""
+
+    def kept(near, k, most):
+        x = a[k][near] if a[k].ndim else a[k]
+        return near[np.bitwise_count(x ^ b[k][near]) <= most]
 
+    near = np.flatnonzero(np.bitwise_count(a[1] ^ b[1]) <= distance)
+    near = kept(near, 0, distance)
+    return near if second is None else kept(near, 2, second)
 
-def cell_links(fp: np.ndarray, bounds: np.ndarray, distance: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each cell fp[bounds[i]:bounds[i + 1]]: all pairs in cells of up to `small`, else a spanning forest."""
-    u, sizes = embed(fp), np.diff(bounds)
+
+def cell_links(codes: list[np.ndarray], bounds: np.ndarray, distance: int, second: int | None = None, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each cell bounds[i]:bounds[i + 1]: all pairs in cells of up to `small`, else a spanning forest."""
+    fp, sizes = codes[0], np.diff(bounds)
+    codes = [fp, embed(fp), *codes[1:]]
     left, right = [], []
     owner = np.repeat(np.arange(len(sizes)), sizes)
     few = (sizes <= small)[owner] if len(sizes) else np.zeros(0, bool)
     for lag in range(1, min(small, int(sizes.max(initial=0)))):
         i = np.flatnonzero(few[lag:] & (owner[lag:] == owner[:-lag]))
-        hit = i[close(fp[i], fp[i + lag], u[i], u[i + lag], distance)]
+        hit = i[close([x[i] for x in codes], [x[i + lag] for x in codes], distance, second)]
         left.append(fp[hit])
         right.append(fp[hit + lag])
     for k in np.flatnonzero(sizes > small):
-        rest, rest_u = fp[bounds[k] : bounds[k + 1]], u[bounds[k] : bounds[k + 1]]
-        while len(rest) > 1:
-            todo, todo_u = [rest[0]], [rest_u[0]]
-            rest, rest_u = rest[1:], rest_u[1:]
-            while todo and len(rest):
-                x, ux = todo.pop(), todo_u.pop()
-                hit = close(x, rest, ux, rest_u, distance)
+        rest = [x[bounds[k] : bounds[k + 1]] for x in codes]
+        while len(rest[0]) > 1:
+            todo = [[x[0] for x in rest]]
+            rest = [x[1:] for x in rest]
+            while todo and len(rest[0]):
+                one = todo.pop()
+                hit = close(one, rest, distance, second)
                 if len(hit):
-                    left.append(np.full(len(hit), x))
-                    right.append(rest[hit])
-                    todo += list(rest[hit])
-                    todo_u += list(rest_u[hit])
-                    stay = np.ones(len(rest), dtype=bool)
+                    left.append(np.full(len(hit), one[0]))
+                    right.append(rest[0][hit])
+                    todo += [list(x) for x in zip(*(y[hit] for y in rest), strict=True)]
+                    stay = np.ones(len(rest[0]), dtype=bool)
                     stay[hit] = False
-                    rest, rest_u = rest[stay], rest_u[stay]
+                    rest = [x[stay] for x in rest]
     if not left:
         return fp[:0], fp[:0]
     return np.concatenate(left), np.concatenate(right)
 
 
-def classes(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = 8) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id that links reach."""
-    if not 0 <= distance < groups <= 32:
+def classes(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int | None = 8, second: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id that links reach. groups: None lets the number of fingerprints decide.
+
+    second: also compares a second, independent fingerprint, within so many bits, which keeps texts that resemble one
+    another by chance in 64 bits apart; texts of equal first fingerprints share the least second one.
+    """
+    if groups is not None and not 0 <= distance < groups <= 32:
         raise ValueError("0 <= distance < groups <= 32")
-    marked = stash(fingerprints(docs, shingle))
-    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes, distance, groups))
+    paired = second is not None
+    marked = stash(fingerprints(docs, shingle, paired))
+    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), *([F.min("fp2").alias("fp2")] if paired else [])))
+    roots = components(links(nodes, distance, groups or groups_for(nodes.count(), distance), second))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp")
+    return marked.select("doc_id", "fp").join(named, "fp")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 6, groups: int = 9) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 8, second: int = 16) -> DataFrame:
     """docs, with all columns, of which the row with its class's least doc_id stays (of rows that repeat that id, one; rows without an id all stay)."""
-    found = classes(docs, shingle, distance, groups)
+    found = classes(docs, shingle, distance, None, second)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -68,7 +68,7 @@ def test_links_lose_nothing(spark):
         for _ in range(30):
             codes.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 8))))
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
-    for distance, groups in ((4, 8), (6, 9)):
+    for distance, groups in ((4, 8), (6, 9), (8, 10), (8, 11)):
         found = components(simhash.links(spark.createDataFrame(signed, "fp bigint"), distance, groups)).collect()
         classes = {}
         for r in found:
@@ -88,6 +88,11 @@ def test_embedding_is_a_lower_bound():
     assert (manhattan <= np.bitwise_count(a ^ b)).all()
 
 
+def test_number_of_groups_follows_the_number_of_fingerprints():
+    found = [simhash.groups_for(n, 8) for n in (1, 10**5, 10**7, 10**9, 10**11)]
+    assert found == sorted(found) and found[0] == 9 and found[-1] <= 16
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 400)] + [(5, 5), (7000, 6999), (6999, 7000)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
