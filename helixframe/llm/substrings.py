@@ -9,8 +9,9 @@ a text an anchor owns a run of start positions, and start positions belong to on
 2. Where one anchor hash has several different surroundings, one row of each is a boundary case. Their bytes are
    fetched, dealt by anchor, and sorted as suffixes in two stages (see `suffixes`); neighbours in that order that
    share `length` bytes from their start positions are repeats.
-3. An anchor with more than `hot` different surroundings is not gathered: its strings' hashes are counted, after
-   partial aggregation, and the repeated ones joined back.
+3. An anchor with more than `hot` different surroundings is not gathered. Its strings are split into classes by the
+   anchor's offset in them and dealt anew by the bytes that all strings of a class hold; equal rows are merged before
+   the shuffle. Groups that are still hot are split again by narrower classes, the last of which is one string.
 4. The covered bytes of each text are united and cut out.
 
 Texts are known by a 64-bit hash and their length, so copies of a text share their result. Everything a task gathers
@@ -37,6 +38,8 @@ NAME = "op9_substring_dedup"
 LENGTH = 400
 GRAM = 64
 BATCH = 256 << 10
+#: Offsets in a class, level by level, where an anchor is hot; each is a multiple of the next.
+WIDTHS = (48, 8, 1)
 CHUNK = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -147,26 +150,26 @@ def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, cases: DataFrame, length: int) -> DataFrame:
-    """Bytes of the boundary cases: (anchor, kinds, key, n, a, data); a text's copies give them once or more."""
-    wanted = cases.groupBy("key", "n").agg(F.collect_list(F.struct("anchor", "kinds", "a", "b")).alias("cases"))
+    """Bytes of the boundary cases: (anchor, kinds, key, n, p, a, data); a text's copies give them once or more."""
+    wanted = cases.groupBy("key", "n").agg(F.collect_list(F.struct("anchor", "kinds", "p", "a", "b")).alias("cases"))
     texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("key"), F.octet_length("text").alias("n"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         last = None
         for batch in batches:
             for piece in slices(batch):
-                out = {k: [] for k in ("anchor", "kinds", "key", "n", "a", "data")}
+                out = {k: [] for k in ("anchor", "kinds", "key", "n", "p", "a", "data")}
                 for key, n, text, found in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                     if (key, n) == last:
                         continue
                     last = (key, n)
                     for case in found:
-                        for name, value in zip(out, (case["anchor"], case["kinds"], key, n, case["a"], text[case["a"] : case["b"] + length]), strict=True):
+                        for name, value in zip(out, (case["anchor"], case["kinds"], key, n, case["p"], case["a"], text[case["a"] : case["b"] + length]), strict=True):
                             out[name].append(value)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    return texts.join(wanted, ["key", "n"]).select("key", "n", "text", "cases").mapInArrow(run, "anchor bigint, kinds bigint, key bigint, n int, a int, data binary")
+    return texts.join(wanted, ["key", "n"]).select("key", "n", "text", "cases").mapInArrow(run, "anchor bigint, kinds bigint, key bigint, n int, p int, a int, data binary")
 
 
 def repeats(cases: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int]]:
@@ -218,32 +221,61 @@ def sorted_repeats(found: DataFrame, length: int) -> DataFrame:
     return found.select("anchor", "key", "n", "a", "data").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
 
 
-def counted_repeats(found: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many surroundings: counts of the strings' hashes."""
+def classed(cases: DataFrame, length: int, width: int) -> DataFrame:
+    """Splits cases (anchor, key, n, p, a, data) by the anchor's offset in their strings, `width` offsets a class.
 
-    def run(anchor, key, n, a, data):
-        out = {k: [] for k in ("anchor", "code", "key", "n", "s")}
-        for values in zip(anchor, key, n, a, data, strict=True):
-            for k in range(len(values[4]) - length + 1):
-                h = xxhash.xxh3_64_intdigest(values[4][k : k + length])
-                for name, value in zip(out, (values[0], h - (1 << 64) if h >> 63 else h, values[1], values[2], values[3] + k), strict=True):
+    The strings of a class all hold certain bytes around the anchor, which with class and anchor make its group:
+    equal strings stay together, and strings that differ there part. With a width of 1 a class is one string.
+    """
+
+    def run(anchor, key, n, p, a, data):
+        out = {k: [] for k in ("anchor", "around", "key", "n", "p", "a", "data")}
+        for group, text_key, size, at, first, text in zip(anchor, key, n, p, a, data, strict=True):
+            last = first + len(text) - length
+            for j in range((at - last) // width, (at - first) // width + 1):
+                low, high = max(first, at - (j + 1) * width + 1), min(last, at - j * width)
+                shared = text[at - j * width - first : at - (j + 1) * width + 1 + length - first]
+                own = text[low - first : high - first + length]
+                codes = (xxhash.xxh3_64_intdigest(shared, (group ^ j * MULTIPLIER) % (1 << 64)), xxhash.xxh3_64_intdigest(own, at - low))
+                for name, value in zip(out, (*(h - (1 << 64) if h >> 63 else h for h in codes), text_key, size, at, low, own), strict=True):
                     out[name].append(value)
         return out
 
-    strings = map_columns(found.select("anchor", "key", "n", "a", "data"), run, "anchor bigint, code bigint, key bigint, n int, s int")
-    twice = strings.groupBy("anchor", "code").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    return strings.join(twice, ["anchor", "code"]).select("key", "n", "s", (F.col("s") + length).alias("e"))
+    return map_columns(cases.select("anchor", "key", "n", "p", "a", "data"), run, "anchor bigint, around bigint, key bigint, n int, p int, a int, data binary")
+
+
+def refined_repeats(cases: DataFrame, length: int, hot: int, widths: tuple[int, ...]) -> DataFrame | None:
+    """Repeats among cases of hot anchors, by ever narrower classes; None if there are no cases.
+
+    Each level moves a few rows for each case that is still in a hot group, merges equal ones before the shuffle and
+    sorts the groups that are no longer hot.
+    """
+    if not widths or cases.isEmpty():
+        return None
+    rows = written(classed(cases, length, widths[0]))
+    kinds = written(rows.groupBy("anchor", "around").agg(F.count("*").alias("times"), F.min(F.struct("key", "n", "p", "a", "data")).alias("one")))
+    copies = rows.select("anchor", "around", "key", "n", F.col("a").alias("s"), (F.col("a") + F.octet_length("data")).alias("e"))
+    spans = copies.join(kinds.where("times > 1").select("anchor", "around"), ["anchor", "around"]).select("key", "n", "s", "e")
+    if widths[0] > 1:
+        several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        left = written(kinds.join(several, "anchor").select("anchor", "kinds", "one.*"))
+        spans = spans.unionByName(sorted_repeats(left.where(F.col("kinds") <= hot), length))
+        more = refined_repeats(left.where(F.col("kinds") > hot), length, hot, widths[1:])
+        spans = spans if more is None else spans.unionByName(more)
+    return spans
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 512) -> DataFrame:
     """(key, n, spans) of every text with repeated strings."""
     all_anchors = written(anchor_table(docs, length, gram))
-    kinds = written(all_anchors.groupBy("anchor", "around").agg(F.count("*").alias("times"), F.min(F.struct("key", "n", "a", "b")).alias("one")))
+    kinds = written(all_anchors.groupBy("anchor", "around").agg(F.count("*").alias("times"), F.min(F.struct("key", "n", "p", "a", "b")).alias("one")))
     copies = all_anchors.join(kinds.where("times > 1").select("anchor", "around"), ["anchor", "around"]).select("key", "n", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    cases = kinds.join(several, "anchor").select("anchor", "kinds", "one.key", "one.n", "one.a", "one.b")
+    cases = kinds.join(several, "anchor").select("anchor", "kinds", "one.*")
     found = written(contexts(docs, cases, length))
-    spans = copies.unionByName(sorted_repeats(found.where(F.col("kinds") <= hot), length)).unionByName(counted_repeats(found.where(F.col("kinds") > hot), length))
+    spans = copies.unionByName(sorted_repeats(found.where(F.col("kinds") <= hot), length))
+    more = refined_repeats(found.where(F.col("kinds") > hot), length, hot, WIDTHS)
+    spans = spans if more is None else spans.unionByName(more)
     return spans.distinct().groupBy("key", "n").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
