@@ -4,8 +4,8 @@ A document is a bag of sentences. Each sentence has a probability from a linear
 their prefixes; the document's probability is the noisy-or of its sentences, 1 - prod(1 - p). Only document labels
 are used in training; the trained sentence probabilities then locate the offending sentences.
 
-Training reads a bounded sample of labelled rows (`max_docs`, half of each label as far as there are as many, by the
-order of a hash of the id) without the held-out fold. Scoring reads every whole text in one narrow stage; what it
+Training reads a bounded sample of labelled rows (`max_docs`, half of each label as far as there are as many, and
+`max_bytes` of whole texts, by the order of a hash of the id) without the held-out fold. Scoring reads every whole text in one narrow stage; what it
 ships to the workers is a dictionary of at most `max_features` weights.
 
 Cases: a null or empty text has no sentence and scores 0. Ids that repeat are scored once per row. A label that is
@@ -16,6 +16,8 @@ Columns other than those named are never read, so clashing names do not matter.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -62,29 +64,72 @@ class Model:
         return Words()
 
 
-def train(labelled: list[tuple[str, int]], max_features: int = 4000, min_docs: int = 4, steps: int = 150, l2: float = 2e-3, rate: float = 0.1) -> Model:
+class Bags:
+    """Sentences as arrays of word numbers; each distinct word's features are numbered once, and no text is kept."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.features: dict[str, int] = {}
+        self.of_word: list[np.ndarray] = []
+        self.tokens, self.sizes, self.sentences = [], [], []
+
+    def number(self, word: str) -> int:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = len(self.of_word)
+            self.of_word.append(np.array([self.features.setdefault(f, len(self.features)) for f in word_features(word)], dtype=np.int32))
+        return found
+
+    def add(self, text: str) -> None:
+        found = [np.array([self.number(w) for w in sorted(words)], dtype=np.int32) for _, _, words in sentences(text)]
+        self.tokens.append(np.concatenate(found) if found else np.zeros(0, np.int32))
+        self.sizes.append(np.array([len(x) for x in found], dtype=np.int32))
+
+    def counts(self, y: np.ndarray) -> np.ndarray:
+        """Documents of either label that hold each feature."""
+        out = np.zeros((2, len(self.features)))
+        for tokens, label in zip(self.tokens, y.astype(int).tolist(), strict=True):
+            held = [self.of_word[w] for w in np.unique(tokens).tolist()]
+            if held:
+                out[label, np.unique(np.concatenate(held))] += 1
+        return out
+
+    def matrix(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence, column) of every chosen feature's occurrence, and the document of each sentence. chosen: column by feature, else -1."""
+        of_word = [c[c >= 0] for c in (chosen[f] for f in self.of_word)]
+        size = np.array([len(c) for c in of_word], dtype=np.int64)
+        starts = np.concatenate(([0], np.cumsum(size)))
+        flat = np.concatenate([*of_word, np.zeros(0, np.int64)]).astype(np.int32)
+        tokens, sizes = np.concatenate([*self.tokens, np.zeros(0, np.int32)]), np.concatenate([*self.sizes, np.zeros(0, np.int32)])
+        sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        kept = size[tokens] > 0
+        tokens, sentence = tokens[kept], sentence[kept]
+        n = size[tokens]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), [len(x) for x in self.sizes])
+        return np.repeat(sentence, n), flat[np.repeat(starts[tokens], n) + within], owner
+
+
+def train(labelled: Iterable[tuple[str, int]], max_features: int = 4000, min_docs: int = 4, steps: int = 150, l2: float = 2e-3, rate: float = 0.1) -> Model:
     """Fits the noisy-or model by Adam on the mean log-likelihood with an L2 penalty."""
-    docs = [(sentences(text or ""), int(y)) for text, y in labelled]
-    y = np.array([d[1] for d in docs], dtype=float)
+    bags, marks = Bags(), []
+    for text, label in labelled:
+        bags.add(text or "")
+        marks.append(label)
+    y = np.array(marks, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model({}, -40.0)
-    seen: dict[str, list[int]] = {}
-    for found, label in docs:
-        for feature in {f for word in set().union(*(s[2] for s in found), ()) for f in word_features(word)}:
-            seen.setdefault(feature, [0, 0])[label] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    names, counts = list(seen), np.array(list(seen.values()), dtype=float)
-    p1, p0 = (counts[:, 1] + 0.5) / (n1 + 1), (counts[:, 0] + 0.5) / (n0 + 1)
-    gain = np.where(counts.sum(1) >= min_docs, np.abs(p1 - p0) * np.abs(np.log(p1 / p0)), 0)
-    chosen = {names[i]: k for k, i in enumerate(i for i in np.lexsort((names, -gain))[:max_features] if gain[i] > 0)}
-    rows, cols, owner = [], [], []
-    for d, (found, _) in enumerate(docs):
-        for _, _, words in found:
-            ids = [chosen[f] for w in words for f in word_features(w) if f in chosen]
-            rows += [len(owner)] * len(ids)
-            cols += ids
-            owner.append(d)
-    rows, cols, owner = (np.array(x, dtype=np.int64) for x in (rows, cols, owner))
+    names, (c0, c1) = list(bags.features), bags.counts(y)
+    p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
+    gain = np.where(c0 + c1 >= min_docs, np.abs(p1 - p0) * np.abs(np.log(p1 / p0)), 0)
+    able = np.flatnonzero(gain > 0)
+    best = sorted(able.tolist(), key=lambda i: (-gain[i], names[i]))[:max_features]
+    chosen = {names[i]: k for k, i in enumerate(best)}
+    column = np.full(len(names), -1, dtype=np.int64)
+    column[best] = np.arange(len(best))
+    docs, (rows, cols, owner) = y, bags.matrix(column)
+    del bags, names
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, bias = np.zeros(len(chosen)), -4.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -103,8 +148,12 @@ def train(labelled: list[tuple[str, int]], max_features: int = 4000, min_docs: i
     return Model({f: float(w[k]) for f, k in chosen.items() if abs(w[k]) > 0.02}, float(bias))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> list[tuple[str, int]]:
-    """A bounded, reproducible sample of labelled rows outside the held-out fold, half of each label at most."""
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_bytes: int = 24 << 20) -> Iterator[tuple[str, int]]:
+    """A bounded, reproducible sample of labelled rows outside the held-out fold, half of each label at most.
+
+    Rows come in the order of a hash of their id, as far as their whole texts fit in max_bytes together; they are
+    fetched a partition at a time.
+    """
     label = (
         labels.where("doc_id is not null and toxic is not null")
         .where("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0")
@@ -113,14 +162,20 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> list[tup
     )
     picked = [label.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
-    return [(r.text, r.toxic) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
+    rows = docs.select("doc_id", "text").where("text is not null")
+    sizes = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    taken, left, room = [], max_docs, max_bytes
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+        if r.n <= left and r["size"] <= room:
+            taken.append((r.doc_id, r.toxic))
+            left, room = left - r.n, room - r["size"]
+    chosen = docs.sparkSession.createDataFrame(taken, "doc_id bigint, toxic int")
+    for r in rows.join(F.broadcast(chosen), "doc_id").toLocalIterator():
+        yield r.text, r.toxic
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: score, decision and offending sentences (those of probability 0.5 or more)."""
-    import zlib
-
     weights, bias = model.weights, model.bias
 
     def run(ids, texts):
