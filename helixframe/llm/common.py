@@ -39,6 +39,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes in an Arrow batch that goes to a worker.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches bounded in bytes: the session's limit is lowered where it is larger, since 10,000
+    long texts in a batch would not fit in a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def map_columns(df: DataFrame, function: Callable[..., dict], schema: str) -> DataFrame:
     """Applies `function(*columns as Python lists) -> {name: list}` to Arrow batches of df, in batches of bounded bytes.
 
@@ -61,10 +75,10 @@ def map_rows(df: DataFrame, function: Callable[..., dict], fields) -> DataFrame:
                 found = function(*(column.to_pylist() for column in piece.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, fields)
+    return map_batches(df, run, fields)
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each slice holds about `most` bytes, one row at least."""
     rows = batch.num_rows
     if rows == 0:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_columns, slices, table, written
+from helixframe.llm.common import map_batches, map_columns, slices, table, written
 from helixframe.llm.suffixes import common_prefixes, suffix_array
 
 NAME = "op9_substring_dedup"
@@ -146,7 +146,7 @@ def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
             columns = [np.array(codes, dtype=np.int64), around, keys, sizes, *((x + shift).astype(np.int32) for x in (p, a, b))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "around", "key", "n", "p", "a", "b"])
 
-    return docs.where(F.octet_length("text") >= length).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, ANCHOR)
+    return map_batches(docs.where(F.octet_length("text") >= length).select(F.col("text").cast("binary").alias("text")), run, ANCHOR)
 
 
 def contexts(docs: DataFrame, cases: DataFrame, length: int) -> DataFrame:
@@ -169,7 +169,7 @@ def contexts(docs: DataFrame, cases: DataFrame, length: int) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    return texts.join(wanted, ["key", "n"]).select("key", "n", "text", "cases").mapInArrow(run, "anchor bigint, kinds bigint, key bigint, n int, p int, a int, data binary")
+    return map_batches(texts.join(wanted, ["key", "n"]).select("key", "n", "text", "cases"), run, "anchor bigint, kinds bigint, key bigint, n int, p int, a int, data binary")
 
 
 def repeats(cases: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int]]:
@@ -218,7 +218,7 @@ def sorted_repeats(found: DataFrame, length: int) -> DataFrame:
             columns = [pa.array(c, type=t) for c, t in zip(zip(*spans, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "s", "e"])
 
-    return found.select("anchor", "key", "n", "a", "data").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
+    return map_batches(found.select("anchor", "key", "n", "a", "data").repartition("anchor").sortWithinPartitions("anchor"), run, SPAN)
 
 
 def classed(cases: DataFrame, length: int, width: int) -> DataFrame:
