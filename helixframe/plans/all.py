@@ -1 +1,3 @@
 """Imports every plan module, so that each registers its queries."""
+
+from helixframe.plans import count_queries, interval_queries, read_queries  # noqa: F401
