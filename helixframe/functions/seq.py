@@ -55,7 +55,7 @@ def ambiguity_code(bases: Column) -> Column:
 
 def ambiguity_bases(code: Column) -> Column:
     """the sorted bases of a code."""
-    return F.split(F.element_at(_map(IUPAC), code), "(?!^)")
+    return F.filter(F.split(F.element_at(_map(IUPAC), code), ""), lambda b: b != "")
 
 
 def canonical(kmer: Column) -> Column:
