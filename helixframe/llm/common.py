@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from helixframe.lineage import ensure_checkpoint_dir, stash  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the shared folder that the cluster names; sets a local one only where none is named (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder, which outlives executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Like stash, as compressed Parquet in the same shared folder: for large tables that are read more than once."""
-    import uuid
-
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import map_columns, stash, table
-from helixframe.llm.components import components
+from helixframe.operators.graph import connected
 
 NAME = "op5_simhash_dedup"
 ORACLE_SQL = None
@@ -221,7 +221,7 @@ def classes(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int |
     paired = second is not None
     marked = stash(fingerprints(docs, shingle, paired))
     nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), *([F.min("fp2").alias("fp2")] if paired else [])))
-    roots = components(links(nodes, distance, groups or groups_for(nodes.count(), distance), second))
+    roots = connected(links(nodes, distance, groups or groups_for(nodes.count(), distance), second))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")

@@ -8,7 +8,7 @@ import xxhash
 
 from helixframe.llm import simhash
 from helixframe.llm.common import table
-from helixframe.llm.components import components
+from helixframe.operators.graph import connected as components
 from tests.llm.common import SF, documents, edge_texts, sf_folder, with_clash
 
 
