@@ -78,6 +78,18 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(n >= 1, F.filter(all_of, lambda x: ~x.rlike("[^ACGT]"))).otherwise(F.array().cast("array<string>"))
 
 
+def canonical_kmers(seq: Column, k: int) -> Column:
+    """The canonical form of each k-mer of `kmers`, the complement being made once for each stretch of ACGT."""
+
+    def of(piece: Column) -> Column:
+        n = F.octet_length(piece)
+        both = F.struct(piece.cast("binary").alias("f"), reverse_complement(piece).cast("binary").alias("r"))
+        each = lambda b: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.least(F.substring(b["f"], i, F.lit(k)), F.substring(b["r"], n - k + 2 - i, F.lit(k))).cast("string"))
+        return F.element_at(F.transform(F.array(both), each), 1)
+
+    return F.flatten(F.transform(F.filter(F.split(seq, "[^ACGT]+"), lambda p: F.octet_length(p) >= k), of))
+
+
 def kmers_to_sequence(items: Column) -> Column:
     """the sequence of k-mers that overlap by all but one base."""
     return F.concat(F.element_at(items, 1), F.array_join(F.transform(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda x: F.right(x, F.lit(1))), ""))

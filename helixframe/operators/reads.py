@@ -110,8 +110,8 @@ def pair_reads(df: DataFrame) -> DataFrame:
 
 def count_kmers(seqs: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Canonical k-mers of upper-cased sequences with their counts, summed before the shuffle."""
-    each = seqs.select(*(keys or []), F.explode(sq.kmers(F.upper("seq"), k)).alias("kmer"))
-    return each.select(*(keys or []), sq.canonical(F.col("kmer")).alias("kmer")).groupBy(*(keys or []), "kmer").agg(F.count("*").alias("n"))
+    each = seqs.select(*(keys or []), F.explode(sq.canonical_kmers(F.upper("seq"), k)).alias("kmer"))
+    return each.groupBy(*(keys or []), "kmer").agg(F.count("*").alias("n"))
 
 
 def postings(seqs: DataFrame, k: int) -> DataFrame:
@@ -159,7 +159,7 @@ def link_list(counts: DataFrame) -> DataFrame:
 
 def kmer_depth(seqs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """By sequence, the share of k-mers that are in the bag and mean, median, least and most of their counts."""
-    each = seqs.select("name", F.explode(sq.kmers(F.upper("seq"), k)).alias("kmer")).select("name", sq.canonical(F.col("kmer")).alias("kmer"))
+    each = seqs.select("name", F.explode(sq.canonical_kmers(F.upper("seq"), k)).alias("kmer"))
     found = each.join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return found.groupBy("name").agg(F.round(100 * F.avg((F.col("n") > 0).cast("int")), 6).alias("present"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"))
 

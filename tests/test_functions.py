@@ -23,6 +23,7 @@ def test_sequences(one):
     assert [one(seq.reverse_complement(F.lit(s))) for s in ("AACGTN", "acgtRY", "")] == ["NACGTT", "RYacgt", ""]
     assert [(one(seq.canonical(F.lit(k))), one(seq.sign(F.lit(k)))) for k in ("TTT", "ACG", "ACGT")] == [("AAA", -1), ("ACG", 1), ("ACGT", 0)]
     assert one(seq.kmers(F.lit("ACNGTA"), 2)) == ["AC", "GT", "TA"] and one(seq.kmers(F.lit("A"), 2)) == []
+    assert one(seq.canonical_kmers(F.lit("TTGNACG"), 2)) == ["AA", "CA", "AC", "CG"] and one(seq.canonical_kmers(F.lit("A"), 2)) == []
     assert one(seq.kmers_to_sequence(F.array(*map(F.lit, ("ACG", "CGT", "GTT"))))) == "ACGTT"
     assert one(seq.translate_codons(F.lit("ATGTAANNNA"))) == "M*X"
     assert [one(seq.might_be_same(F.lit(a), F.lit(b))) for a, b in (("RN", "AC"), ("R", "C"), ("A", "AA"))] == [True, False, False]
