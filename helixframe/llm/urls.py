@@ -4,10 +4,10 @@ Rules are prefixes of host and path; a rule fits its host and all subdomains, an
 other urls are judged by their template:
 
 1. Segments that look like numbers, hashes or dates become `*` at once, so that pages are counted by few shapes.
-2. From the top of each host's tree down, the children of a node are generalised: a child that is rare beside many
-   siblings is variable and becomes `*`; of the rest, those whose labelled share of bad pages does not differ from
-   the node's by more than `z` standard errors are merged into one branch `?`, so that only branches which behave
-   unlike their siblings stay apart.
+2. From the top of each host's tree down, the children of a node are generalised: those whose labelled share of bad
+   pages differs from the node's by more than `z` standard errors stay apart, however few pages they have; of the
+   rest, a child that is rare beside many siblings is variable and becomes `*`, the others are merged into one branch
+   `?`.
 3. A template's purity is its labelled share of good pages, smoothed towards its host's and that towards the
    overall one by `weight` pseudo-pages each. Templates below `least` are blocked.
 
@@ -74,7 +74,7 @@ def templates(counted: DataFrame, depth: int, rare: float, many: int, z: float)
         fixed = F.col("child").isin("*", "**")
         named = (
             F.when(fixed, F.col("child"))
-            .when((F.col("children") > many) & (F.col("pages") < rare * F.col("all_pages")), "*")
+            .when((F.col("children") > many) & (F.col("pages") < rare * F.col("all_pages")) & ~apart, "*")
             .when((F.col("children") > 1) & ~apart, "?")
             .otherwise(F.col("child"))
         )

@@ -61,3 +61,13 @@ def test_many_rare_children_are_one_variable_segment(spark):
     pages = spark.createDataFrame([(k, f"http://h.org/user/name{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}q/home") for k in range(600)], "page_id bigint, url string")
     found = urls.url_filter(pages).select("template").distinct().collect()
     assert [r.template for r in found] == ["/user/*/home"]
+
+
+def test_a_rare_branch_with_its_own_evidence_stays_apart(spark):
+    names = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(200)]
+    rows = [(k, f"http://h.org/{'spam' if k < 20 else 'user' + names[k % 200]}/{k}", k, int(k < 20)) for k in range(4000)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, label_id bigint")
+    labelled = spark.createDataFrame([r[2:] for r in rows if r[0] % 2 == 0], "label_id bigint, bad int")
+    found = {r.page_id: r for r in urls.url_filter(pages, labelled).collect()}
+    assert all(found[k].verdict == ("block" if k < 20 else "allow") for k in range(4000))
+    assert {r.template for r in found.values()} == {"/spam/*", "/*/*"}
