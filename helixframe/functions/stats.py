@@ -50,14 +50,24 @@ def glog2(x: Column, moderation: float) -> Column:
 
 
 def fisher_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided exact p of a table [[a, b], [c, d]]: the sum over tables of the same margins as likely or less."""
-    n = a + b + c + d
-    fixed = log_factorial(a + b) + log_factorial(c + d) + log_factorial(a + c) + log_factorial(b + d) - log_factorial(n)
+    """G14 for 2x2: two-sided exact p of a table [[a, b], [c, d]]: the sum over tables of the same margins as likely or less.
 
-    def log_p(x):
-        return fixed - log_factorial(x) - log_factorial(a + b - x) - log_factorial(a + c - x) - log_factorial(d - a + x)
+    Likelihoods follow from one table to the next by their ratio and are normalised by their sum, in two passes, so
+    that rounding does not grow with the totals.
+    """
+    first, last = F.greatest(F.lit(0), a - d), F.least(a + b, a + c)
+    every = F.sequence(first.cast("bigint"), last.cast("bigint"))
 
-    seen = log_p(a)
-    each = F.transform(F.sequence(F.greatest(F.lit(0), a - d).cast("int"), F.least(a + b, a + c).cast("int")), lambda x: log_p(x.cast("double")))
-    total = F.aggregate(each, F.lit(0.0), lambda acc, y: acc + F.when(y <= seen + 1e-6, F.exp(y)).otherwise(0.0))
-    return F.least(total, F.lit(1.0))
+    def following(log_p, x):
+        return F.when(x < last, log_p + F.ln((a + b - x) * (a + c - x) / ((x + 1.0) * (d - a + x + 1.0)))).otherwise(log_p)
+
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("at"), zero.alias("top"), zero.alias("seen"))
+    scale = F.aggregate(every, start, lambda s, x: F.struct(following(s["at"], x).alias("at"), F.greatest(s["top"], s["at"]).alias("top"), F.when(x == a, s["at"]).otherwise(s["seen"]).alias("seen")))
+
+    def add(s, x):
+        p = F.exp(s["at"] - s["scale"]["top"])
+        return F.struct(s["scale"].alias("scale"), following(s["at"], x).alias("at"), (s["all"] + p).alias("all"), (s["low"] + F.when(s["at"] <= s["scale"]["seen"] + 1e-6, p).otherwise(0.0)).alias("low"))
+
+    start = F.struct(scale.alias("scale"), zero.alias("at"), zero.alias("all"), zero.alias("low"))
+    return F.aggregate(every, start, add, lambda s: s["low"] / s["all"])

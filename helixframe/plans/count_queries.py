@@ -78,7 +78,7 @@ l as (select a, b, c, d, k, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c
 s as (select a, b, c, d, lp as seen from l where k = a)
 --- select l.a, l.b, l.c, l.d, round(least(1, sum(exp(lp)) filter (lp <= seen + 1e-6)), 6) as p from l join s on l.a = s.a and l.b = s.b and l.c = s.c and l.d = s.d group by 1, 2, 3, 4"""))
 def fisher_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact tests of the distinct tables of returned and other quantities against all parts."""
+    """Exact tests of distinct shrunken tables of returned and other quantities: cells over 20, totals over 20,000, as its SQL has them; `feature_tests` has the tests of the counts."""
     by = view(spark, sf_dir, "counts").groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("sample").isin(*s), F.col("n"))), F.lit(0)).alias(k) for k, s in (("x", ("AF", "RF")), ("y", ("NO", "NF")))])
     total = by.agg(F.sum("x").alias("tx"), F.sum("y").alias("ty"))
     whole = lambda c, n: F.floor(F.col(c) / n)
@@ -86,6 +86,16 @@ def fisher_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.withColumn("p", F.round(fisher_2x2(*[F.col(c).cast("double") for c in "abcd"]), 6))
 
 
+@register("feature_tests")
+def feature_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact 2x2 test of every feature's returned and other quantities against all features' (G14, 2x2 only); no SQL, as the sums over whole tables are too long for it."""
+    by = view(spark, sf_dir, "counts").groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("sample").isin(*s), F.col("n"))), F.lit(0)).alias(k) for k, s in (("a", ("AF", "RF")), ("b", ("NO", "NF")))])
+    total = by.agg(F.sum("a").alias("c"), F.sum("b").alias("d"))
+    tables = by.select("a", "b").distinct().crossJoin(F.broadcast(total))
+    tested = tables.withColumn("p", F.round(fisher_2x2(*[F.col(c).cast("double") for c in "abcd"]), 6))
+    return by.join(tested, ["a", "b"]).select("feature", "a", "b", "c", "d", "p")
+
+
 @register("discovery_rates", oracle(["counts"], """p as (select feature, sample, (1 + n % 997) / 1000.0::double as p from counts), r as (select *, count(*) over (order by p) as k, count(*) over () as t from p), q as (select *, min(p * t / k) over (order by p desc) as q from r)
 --- select feature, sample, round(least(1, q), 9) as fdr from q"""))
 def discovery_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
