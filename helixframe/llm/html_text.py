@@ -4,9 +4,9 @@ The page is read into a tree of block elements with the usual implied ends (p, l
 unclosed. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments, known by element or
 by a word of their class, id or role, take no part. Of every block the characters, tags, link characters and link tags
 of its subtree give its composite density: characters per tag, scaled down by the share of links, relative to the
-page's. The block whose children's densities have the greatest sum is the content; the least density on the path from
-it to the body is the threshold, above which its neighbours on that path are kept with it. An enclosing article or
-main element is taken whole.
+page's. The block whose children's densities have the greatest sum is the content. An enclosing article or main
+element is taken whole; without one, the content's outermost block is, with its neighbours and the text between them,
+however short, but for menus: what is more than one link and mostly links.
 
 Text: references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
@@ -233,8 +233,13 @@ def measured(root: Node) -> list[Node]:
     return order
 
 
-def content(root: Node) -> list[Node]:
-    """The blocks that hold the main text, in page order."""
+def menu(chars: int, link_chars: int, link_tags: int) -> bool:
+    """Whether text is several links and little else."""
+    return link_tags > 1 and 2 * link_chars > chars
+
+
+def content(root: Node) -> list[Node | str]:
+    """The blocks that hold the main text and text beside them, in page order."""
     order = measured(root)
     best = max(order, key=lambda x: x.total)
     if not best.total:
@@ -253,9 +258,11 @@ def content(root: Node) -> list[Node]:
         node = node.parent
     if not path:
         return [best]
-    threshold = min(x.density for x in (*path, node) if x is not None)
-    top = path[-1]
-    return [x for x in top.parent.parts if type(x) is Node and (x is top or x.density >= threshold and x.total >= threshold)]
+    around = path[-1].parent
+    inner = [x for x in around.parts if type(x) is Node]
+    chars, link_chars, link_tags = (getattr(around, k) - sum(getattr(x, k) for x in inner) for k in ("chars", "link_chars", "link_tags"))
+    loose = not menu(chars, link_chars, link_tags)  # text of no block
+    return [x for x in around.parts if (loose if type(x) is str else x is path[-1] or not menu(x.chars, x.link_chars, x.link_tags))]
 
 
 def main_text(page: str) -> str:
@@ -263,21 +270,18 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     blocks: list[str] = []
-    for top in content(tree(page)):
-        run: list[str] = []
-        todo: list = [top]
-        while todo:
-            part = todo.pop()
-            if type(part) is str:
-                run.append(part)
-                continue
-            if part is None:
-                _block(run, blocks)
-                continue
-            _block(run, blocks)
+    run: list[str] = []
+    todo: list = content(tree(page))[::-1]
+    while todo:
+        part = todo.pop()
+        if type(part) is str:
+            run.append(part)
+            continue
+        _block(run, blocks)
+        if part is not None:
             todo.append(None)
             todo += reversed(part.parts)
-        _block(run, blocks)
+    _block(run, blocks)
     return "\n".join(blocks)
 
 

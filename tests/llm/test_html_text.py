@@ -48,3 +48,11 @@ def test_edges(spark, tmp_path):
     assert len(found) == len(given)
     assert all(r.text == "" for r in found if r.page_id in (1, 2))
     assert html_text.html_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lead", [P1, P1 * 3])
+def test_without_an_article_the_texts_beside_the_chosen_block_stay(lead):
+    long = [" ".join([p] * 4) for p in (P1, P2, P3)]
+    block = "".join(f"<p>{p}</p>" for p in long)
+    page = f"<body>{MENU}<h1>Head</h1><p>{lead}</p>some <b>loose</b> text<div>{block}</div><blockquote>{P2}</blockquote><p>End, <a href=x>with a link</a>.</p>{MENU}</body>"
+    assert html_text.main_text(page) == "\n".join(["Head", lead, "some loose text", *long, P2, "End, with a link."])
