@@ -28,3 +28,11 @@ def test_every_feature_is_tested_on_its_own_counts(spark):
     assert sorted((r.feature, r.a, r.b, r.c, r.d) for r in found) == sorted((f, a, b, c, d) for f, (a, b) in by.items())
     for r in found:
         assert abs(r.p - exact_p(r.a, r.b, r.c, r.d)) < 2e-6
+
+
+def test_short_alignments_are_piled_up_too(spark):
+    alns = view(spark, SF, "aln")
+    found = catalog.queries()["aligned_blocks_all"](spark, SF)
+    assert found.count() == alns.count() > alns.where("e0 - s0 >= 8").count()
+    piled = catalog.queries()["pile_up_all"](spark, SF).where("not is_insertion").agg(F.sum("n")).first()[0]
+    assert piled == alns.agg(F.sum(F.col("e0") - F.col("s0"))).first()[0]
