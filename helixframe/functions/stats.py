@@ -25,17 +25,25 @@ def log_factorial(n: Column) -> Column:
     return log_gamma(n + 1.0)
 
 
-def _series(a: Column, b: Column, x: Column, terms: int) -> Column:
+def _series(a: Column, b: Column, x: Column) -> Column:
+    """For x <= (a + 1) / (a + b + 2), with as many terms as make the last one e^-40 of the first at most.
+
+    Term k + 1 is term k by 1 - (d + k (1 - x)) / (a + 1 + k), d = a + 1 - x (a + b) > 0, so that the logarithm of term
+    n is -(n d + n (n - 1) (1 - x) / 2) / (a + n) at most; n grows with the root of the counts.
+    """
     front = F.exp(a * F.ln(x) + b * F.log1p(-x) - F.ln(a) + log_gamma(a + b) - log_gamma(a) - log_gamma(b))
+    rest = F.greatest(1 - x, F.lit(1e-9))
+    half = a + 1 - x * (a + b) - rest / 2 - 40
+    terms = F.ceil((F.sqrt(half * half + 80 * rest * a) - half) / rest) + 1
     zero = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), zero, lambda acc, k: F.struct((acc["term"] * x * (a + b + k) / (a + 1 + k)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")), lambda acc: acc["sum"])
+    total = F.aggregate(F.sequence(F.lit(0).cast("bigint"), terms), zero, lambda acc, k: F.struct((acc["term"] * x * (a + b + k) / (a + 1 + k)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")), lambda acc: acc["sum"])
     return front * total
 
 
-def incomplete_beta(a: Column, b: Column, x: Column, terms: int = 400) -> Column:
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
     """Regularised incomplete beta function; 1 for a of 0 and 0 for b of 0."""
     direct = x <= (a + 1) / (a + b + 2)
-    inner = F.when(direct, _series(a, b, x, terms)).otherwise(1 - _series(b, a, 1 - x, terms))
+    inner = F.when(direct, _series(a, b, x)).otherwise(1 - _series(b, a, 1 - x))
     return F.when(a < 1e-15, 1.0).when(b < 1e-15, 0.0).otherwise(F.least(F.greatest(inner, F.lit(0.0)), F.lit(1.0)))
 
 

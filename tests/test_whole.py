@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from helixframe import catalog
+from helixframe.functions import stats
 from helixframe.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,22 @@ def test_short_alignments_are_piled_up_too(spark):
     assert found.count() == alns.count() > alns.where("e0 - s0 >= 8").count()
     piled = catalog.queries()["pile_up_all"](spark, SF).where("not is_insertion").agg(F.sum("n")).first()[0]
     assert piled == alns.agg(F.sum(F.col("e0") - F.col("s0"))).first()[0]
+
+
+def at_least(x, n):
+    """Chance of a fair coin for x heads or more of n, in whole numbers: I_0.5(x, n - x + 1)."""
+    term = total = math.comb(n, x)
+    for k in range(x, min(n, x + 20 * math.isqrt(n))):
+        term = term * (n - k) // (k + 1)
+        total += term
+    bits = total.bit_length() - 60
+    return math.ldexp(total >> max(bits, 0), max(bits, 0) - n)
+
+
+def test_incomplete_beta_at_great_counts(spark):
+    cases = [(n, x) for n in (100_000, 1_000_000) for x in (n // 2, n // 2 - math.isqrt(n), n // 2 + math.isqrt(n) // 2)]
+    rows = [(float(x), float(n - x + 1), at_least(x, n)) for n, x in cases]
+    rows += [(n / 2, n / 2, 0.5) for n in (3e4, 1e5, 1e6)]
+    frame = spark.createDataFrame(rows, "a double, b double, want double")
+    for r in frame.withColumn("p", stats.incomplete_beta(F.col("a"), F.col("b"), F.lit(0.5))).collect():
+        assert abs(r.p - r.want) < 1e-6, r
