@@ -16,7 +16,8 @@ aggregated before they are shuffled; pages are joined with their shape's verdict
 the shapes where their size allows it). The counts by shape are checkpointed after each level.
 
 Cases: a null url or one without "://" has an empty host and path and its own template; an empty path has none of
-the segments; segments beyond `depth` count as one; repeated page ids give a row each; an empty table gives none. Only
+the segments; beyond `depth` segments a node is grown, a round of jobs a level, only while its labelled pages could
+still split, else its further segments are one `**`; repeated page ids give a row each; an empty table gives none. Only
 the named columns are read.
 """
 
@@ -53,34 +54,40 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def shape_of(path: Column, depth: int) -> Column:
-    """The first `depth` segments, variable ones as `*`; further ones together as `**`."""
+def shape_of(path: Column) -> Column:
+    """All segments, variable ones as `*`."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    named = F.transform(F.slice(segments, 1, depth), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
-    return F.when(F.size(segments) > depth, F.concat(named, F.array(F.lit("**")))).otherwise(named)
+    return F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
 def templates(counted: DataFrame, depth: int, rare: float, many: int, z: float) -> DataFrame:
     """counted: (host, shape, pages, labelled, bad) by shape. Adds `template`, an array like shape with branches generalised."""
-    tree = stash(counted.withColumn("template", F.array().cast("array<string>")))
+    tree = stash(counted.withColumns({"template": F.array().cast("array<string>"), "growing": F.lit(True)}))
     deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(1, min(depth + 1, deepest) + 1):
-        child = F.get("shape", F.lit(level - 1))
+    for level in range(1, deepest + 1):
+        if level > depth + 1 and tree.where("growing").isEmpty():
+            break
+        child = F.when(F.col("growing"), F.get("shape", F.lit(level - 1)))
         sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
         branch = tree.where(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(*sums)
         node = branch.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("pages").alias("all_pages"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1)
         apart = F.abs(F.col("bad") - share * F.col("labelled")) > z * F.sqrt(F.greatest(F.col("labelled") * share * (1 - share), F.lit(0.25)))
+        # no branch below can differ by more than all bad or all good pages of the node do
+        splits = F.greatest(F.col("all_bad") * (1 - share), (F.col("all_labelled") - F.col("all_bad")) * share) > z * 0.5
+        ends = F.lit(level > depth) & ~splits
         fixed = F.col("child").isin("*", "**")
         named = (
-            F.when(fixed, F.col("child"))
+            F.when(ends, "**")
+            .when(fixed, F.col("child"))
             .when((F.col("children") > many) & (F.col("pages") < rare * F.col("all_pages")) & ~apart, "*")
             .when((F.col("children") > 1) & ~apart, "?")
             .otherwise(F.col("child"))
         )
-        chosen = branch.join(node, ["host", "template"]).select("host", "template", F.col("child"), named.alias("named"))
+        chosen = branch.join(node, ["host", "template"]).select("host", "template", F.col("child"), named.alias("named"), (~ends).alias("grows"))
         named_tree = tree.withColumn("child", child).join(chosen, ["host", "template", "child"], "left")
-        tree = stash(named_tree.withColumn("template", F.when(F.col("named").isNull(), F.col("template")).otherwise(F.concat("template", F.array("named")))).drop("child", "named"))
+        template = F.when(F.col("named").isNull(), F.col("template")).otherwise(F.concat("template", F.array("named")))
+        tree = stash(named_tree.withColumns({"template": template, "growing": F.coalesce("grows", F.lit(False))}).drop("child", "named", "grows"))
     return tree
 
 
@@ -88,7 +95,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
     """page_id, host, path, rule, verdict, template and purity of each page. labelled: (label_id, bad), joined on pages.label_id."""
     url = F.col("url")
     parsed = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    parsed = parsed.withColumn("found", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path"), depth))
+    parsed = parsed.withColumn("found", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path")))
     parsed = parsed.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("ruled"), "shape", *(["label_id"] if labelled is not None else []))
     known = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("int"))
     if labelled is not None:

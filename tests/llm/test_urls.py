@@ -71,3 +71,13 @@ def test_a_rare_branch_with_its_own_evidence_stays_apart(spark):
     found = {r.page_id: r for r in urls.url_filter(pages, labelled).collect()}
     assert all(found[k].verdict == ("block" if k < 20 else "allow") for k in range(4000))
     assert {r.template for r in found.values()} == {"/spam/*", "/*/*"}
+
+
+def test_branches_that_differ_beyond_the_fourth_segment_are_told_apart(spark):
+    rows = [(k, f"http://h.org/a/b/c/d/e/{'spam' if k % 4 == 0 else ('news', 'blog')[k % 2]}/{k}", k, int(k % 4 == 0)) for k in range(400)]
+    rows += [(1000 + k, f"http://i.org/a/b/c/d/e/x{k % 3}q/{k}", 1000 + k, 0) for k in range(30)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, label_id bigint")
+    labelled = spark.createDataFrame([r[2:] for r in rows if r[0] % 2 == 0 or r[0] >= 1000 or r[0] % 8 == 1], "label_id bigint, bad int")
+    found = {r.page_id: r for r in urls.url_filter(pages, labelled).collect()}
+    assert all(found[r[0]].verdict == ("block" if r[3] else "allow") for r in rows)
+    assert found[0].template.startswith("/a/b/c/d/e/spam/") and found[1000].template == "/a/b/c/d/**"
