@@ -157,6 +157,14 @@ def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 k as (select doc_id, substr(seq, 6, greatest(cast(n - 10 as int), 0)) as s from q)
 --- select doc_id, s as seq, case when length(s) < 24 then 'quality' when length(replace(s, substr(s, 1, 1), '')) = 0 then 'homopolymer' end as reason from k"""))
 def clipped_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of even quality trimmed to 400 bases, 5 off either end, too short or uniform ones marked."""
+    """Sequences of even quality trimmed to 400 bases, 5 off either end, too short or uniform ones marked; `clipped_whole_reads` clips all bases."""
     seqs = view(spark, sf_dir, "seqs").withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
     return rd.clip(seqs, trim_to=400, trim_start=5, trim_end=5).select("doc_id", "seq", "reason")
+
+
+@register("clipped_whole_reads", oracle(["seqs"], """k as (select doc_id, substr(seq, 6, greatest(cast(length(seq) - 10 as int), 0)) as s from seqs)
+--- select doc_id, s as seq, case when length(s) < 24 then 'quality' when length(replace(s, substr(s, 1, 1), '')) = 0 then 'homopolymer' end as reason from k"""))
+def clipped_whole_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sequences of even quality, 5 off either end, too short or uniform ones marked."""
+    seqs = view(spark, sf_dir, "seqs").withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    return rd.clip(seqs, trim_start=5, trim_end=5).select("doc_id", "seq", "reason")

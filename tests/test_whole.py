@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe import catalog
 from helixframe.functions import stats
+from helixframe.operators import reads
 from helixframe.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,12 @@ def test_incomplete_beta_at_great_counts(spark):
     frame = spark.createDataFrame(rows, "a double, b double, want double")
     for r in frame.withColumn("p", stats.incomplete_beta(F.col("a"), F.col("b"), F.lit(0.5))).collect():
         assert abs(r.p - r.want) < 1e-6, r
+
+
+def test_trimming_on_a_fixture_and_clipping_of_whole_reads(spark):
+    given = spark.createDataFrame([(1, "ACGT" * 200, "I" * 800)], "doc_id bigint, seq string, qual string")
+    trimmed = [reads.clip(given, trim_to=t, trim_start=5, trim_end=5).first().seq for t in (400, None)]
+    assert trimmed == [("ACGT" * 200)[5:395], ("ACGT" * 200)[5:795]]
+    lengths = {r.doc_id: len(r.seq) for r in view(spark, SF, "seqs").collect()}
+    found = {r.doc_id: len(r.seq) for r in catalog.queries()["clipped_whole_reads"](spark, SF).collect()}
+    assert found == {i: max(n - 10, 0) for i, n in lengths.items()} and max(found.values()) > 390
