@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import map_columns, stash, table
@@ -80,16 +80,18 @@ def signed(code: int) -> int:
     return code - (1 << 64) if code >> 63 else code
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, paired: bool = False) -> DataFrame:
-    """(doc_id, fp), paired also fp2, with the fingerprints as signed longs."""
+def fingerprints(docs: DataFrame, shingle: int = 4, paired: bool = False, key: str | None = None) -> DataFrame:
+    """(doc_id, fp), paired also fp2, with the fingerprints as signed longs; key: a further column of longs to keep."""
 
-    def run(ids, texts):
+    def run(ids, texts, *keys):
+        kept = {"doc_id": ids} | ({key: keys[0]} if key else {})
         if paired:
             found = [fingerprint_pair(t or b"", shingle) for t in texts]
-            return {"doc_id": ids, "fp": [signed(a) for a, _ in found], "fp2": [signed(b) for _, b in found]}
-        return {"doc_id": ids, "fp": [signed(fingerprint(t or b"", shingle)) for t in texts]}
+            return kept | {"fp": [signed(a) for a, _ in found], "fp2": [signed(b) for _, b in found]}
+        return kept | {"fp": [signed(fingerprint(t or b"", shingle)) for t in texts]}
 
-    return map_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id bigint, fp bigint" + ", fp2 bigint" * paired)
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), *([key] if key else [])]
+    return map_columns(docs.select(columns), run, "doc_id bigint, fp bigint" + ", fp2 bigint" * paired + (f", {key} bigint" if key else ""))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -220,20 +222,31 @@ def classes(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int |
         raise ValueError("0 <= distance < groups <= 32")
     paired = second is not None
     marked = stash(fingerprints(docs, shingle, paired))
-    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), *([F.min("fp2").alias("fp2")] if paired else [])))
-    roots = connected(links(nodes, distance, groups or groups_for(nodes.count(), distance), second))
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = rooted(marked, F.col("doc_id"), distance, groups, second)
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.select("doc_id", "fp").join(named, "fp")
 
 
+def rooted(marked: DataFrame, first: Column, distance: int, groups: int | None, second: int | None) -> DataFrame:
+    """Each distinct fingerprint with its class's root and the least value of first."""
+    nodes = stash(marked.groupBy("fp").agg(F.min(first).alias("first"), *([F.min("fp2").alias("fp2")] if second is not None else [])))
+    roots = connected(links(nodes, distance, groups or groups_for(nodes.count(), distance), second))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 8, second: int = 16) -> DataFrame:
-    """docs, with all columns, of which the row with its class's least doc_id stays (of rows that repeat that id, one; rows without an id all stay)."""
-    found = classes(docs, shingle, distance, None, second)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs, with all columns, of which a row with its class's least doc_id stays, found by its id and text (of equal ones, one).
+
+    Rows without an id and rows without a word (null, empty or white space) all stay.
+    """
+    worded = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    texts = docs.where(worded).withColumn("_text", F.xxhash64("text"))
+    marked = stash(fingerprints(texts, shingle, True, "_text"))
+    least = rooted(marked, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text")), distance, None, second).groupBy("root").agg(F.min("first").alias("first"))
+    stay = least.where("first is not null").select("first.doc_id", "first._text")
+    named = texts.join(stay, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | ~worded))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

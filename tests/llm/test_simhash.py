@@ -107,3 +107,10 @@ def test_one_of_each_keeps_the_least_id_and_rows_without_id(spark):
     kept = simhash.one_of_each(docs)
     assert kept.schema == docs.schema
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None", "None"]
+
+
+def test_one_of_each_keeps_rows_without_text_and_every_text_of_a_repeated_id(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(60)) for w in ("a", "b", "c"))
+    given = [(1, None), (2, ""), (3, " \n"), (4, None), (5, one), (6, one), (6, two), (6, three), (7, two), (7, two)]
+    kept = simhash.one_of_each(documents(spark, given)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, None), (2, ""), (3, " \n"), (4, None), (5, one), (6, two), (6, three)], key=repr)
