@@ -4,21 +4,22 @@ Rules are prefixes of host and path; a rule fits its host and all subdomains, an
 other urls are judged by their template:
 
 1. Segments that look like numbers, hashes or dates become `*` at once, so that pages are counted by few shapes.
-2. From the top of each host's tree down, the children of a node are generalised: those whose labelled share of bad
-   pages differs from the node's by more than `z` standard errors stay apart, however few pages they have; of the
-   rest, a child that is rare beside many siblings is variable and becomes `*`, the others are merged into one branch
-   `?`.
+2. From the top of each host's tree down to the end of every path, the children of a node are generalised: those whose
+   labelled share of bad pages differs from the node's by more than `z` standard errors stay apart, however few pages
+   they have; of the rest, a child that is rare beside many siblings is variable and becomes `*`, the others are
+   merged into one branch `?`. Where a node's paths go on alike, the segments are taken over as they are.
 3. A template's purity is its labelled share of good pages, smoothed towards its host's and that towards the
    overall one by `weight` pseudo-pages each. Templates below `least` are blocked.
 
 Labelled pages are those that a rule settles and those that the caller labels. Everything runs on counts by shape,
 aggregated before they are shuffled; pages are joined with their shape's verdict in the end (the plan may broadcast
-the shapes where their size allows it). The counts by shape are checkpointed after each level.
+the shapes where their size allows it). A round of jobs takes each growing node to its next fork, so that their number
+is that of forks along a path, not of segments; only shapes that still grow take part, checkpointed after each round.
 
 Cases: a null url or one without "://" has an empty host and path and its own template; an empty path has none of
-the segments; beyond `depth` segments a node is grown, a round of jobs a level, only while its labelled pages could
-still split, else its further segments are one `**`; repeated page ids give a row each; an empty table gives none. Only
-the named columns are read.
+the segments; very long urls are whole paths, with no depth at which they are cut; a path that ends at a fork is a
+template of its own; ties (pages exactly at `rare`, shares exactly at `z`) merge, and a purity equal to `least` allows;
+repeated page ids give a row each; an empty table gives none. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -60,38 +61,42 @@ def shape_of(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
-def templates(counted: DataFrame, depth: int, rare: float, many: int, z: float) -> DataFrame:
-    """counted: (host, shape, pages, labelled, bad) by shape. Adds `template`, an array like shape with branches generalised."""
-    tree = stash(counted.withColumns({"template": F.array().cast("array<string>"), "growing": F.lit(True)}))
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(1, deepest + 1):
-        if level > depth + 1 and tree.where("growing").isEmpty():
-            break
-        child = F.when(F.col("growing"), F.get("shape", F.lit(level - 1)))
-        sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
-        branch = tree.where(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(*sums)
+def templates(counted: DataFrame, rare: float, many: int, z: float) -> DataFrame:
+    """counted: (host, shape, pages, labelled, bad) by shape. Adds `template`, an array like shape with branches generalised.
+
+    A round takes every node that still grows to its next fork: what its shapes' rests have in common is the common
+    prefix of the least and the greatest of them. Then the branches of the fork are named.
+    """
+    tree = counted.withColumns({"template": F.array().cast("array<string>"), "rest": F.col("shape")})
+    sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
+    done = None
+    while True:
+        least = tree.groupBy("host", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        differs = F.filter(F.sequence(F.lit(0), F.least(F.size("lo"), F.size("hi"))), lambda i: ~F.get("lo", i).eqNullSafe(F.get("hi", i)) | F.get("lo", i).isNull())
+        forks = least.select("host", "template", F.element_at(differs, 1).alias("common"))
+        moved = tree.join(forks, ["host", "template"]).withColumns({"template": F.concat("template", F.slice("rest", 1, F.col("common"))), "rest": F.slice("rest", F.col("common") + 1, F.greatest(F.size("rest"), F.lit(1)))})
+        moved = stash(moved.drop("common"))
+        ended = moved.where(F.size("rest") == 0).drop("rest")
+        done = ended if done is None else done.unionByName(ended)
+        growing = moved.where(F.size("rest") > 0).withColumn("child", F.get("rest", F.lit(0)))
+        if growing.isEmpty():
+            return stash(done)
+        branch = growing.groupBy("host", "template", "child").agg(*sums)
         node = branch.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("pages").alias("all_pages"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1)
         apart = F.abs(F.col("bad") - share * F.col("labelled")) > z * F.sqrt(F.greatest(F.col("labelled") * share * (1 - share), F.lit(0.25)))
-        # no branch below can differ by more than all bad or all good pages of the node do
-        splits = F.greatest(F.col("all_bad") * (1 - share), (F.col("all_labelled") - F.col("all_bad")) * share) > z * 0.5
-        ends = F.lit(level > depth) & ~splits
-        fixed = F.col("child").isin("*", "**")
         named = (
-            F.when(ends, "**")
-            .when(fixed, F.col("child"))
+            F.when(F.col("child") == "*", "*")
             .when((F.col("children") > many) & (F.col("pages") < rare * F.col("all_pages")) & ~apart, "*")
             .when((F.col("children") > 1) & ~apart, "?")
             .otherwise(F.col("child"))
         )
-        chosen = branch.join(node, ["host", "template"]).select("host", "template", F.col("child"), named.alias("named"), (~ends).alias("grows"))
-        named_tree = tree.withColumn("child", child).join(chosen, ["host", "template", "child"], "left")
-        template = F.when(F.col("named").isNull(), F.col("template")).otherwise(F.concat("template", F.array("named")))
-        tree = stash(named_tree.withColumns({"template": template, "growing": F.coalesce("grows", F.lit(False))}).drop("child", "named", "grows"))
-    return tree
+        chosen = branch.join(node, ["host", "template"]).select("host", "template", "child", named.alias("named"))
+        grown = growing.join(chosen, ["host", "template", "child"])
+        tree = grown.withColumns({"template": F.concat("template", F.array("named")), "rest": F.slice("rest", 2, F.size("rest"))}).drop("child", "named")
 
 
-def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, depth: int = 4, rare: float = 0.01, many: int = 20, z: float = 3.0, weight: float = 5.0, least: float = 0.5) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, rare: float = 0.01, many: int = 20, z: float = 3.0, weight: float = 5.0, least: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of each page. labelled: (label_id, bad), joined on pages.label_id."""
     url = F.col("url")
     parsed = pages.withColumns({"host": host_of(url), "path": path_of(url)})
@@ -107,7 +112,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
         evidence = parsed.withColumn("known", known).groupBy("host", "shape", "known").agg(F.count("*").alias("pages"))
     value = F.col("pages") * F.col("known")
     counted = evidence.groupBy("host", "shape").agg(F.sum("pages").alias("pages"), F.sum(F.when(F.col("known").isNotNull(), F.col("pages")).otherwise(0)).alias("labelled"), F.sum(F.coalesce(value, F.lit(0))).alias("bad"))
-    tree = templates(counted, depth, rare, many, z)
+    tree = templates(counted, rare, many, z)
     by_template = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     by_host = by_template.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     overall = by_host.agg(((F.sum("host_bad") + 0.5) / (F.sum("host_labelled") + 1)).alias("prior"))
