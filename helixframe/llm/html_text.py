@@ -1,17 +1,24 @@
 """Main text of html pages by composite text density.
 
 The page is read into a tree of block elements with the usual implied ends (p, li, td and so on), whatever is left
-unclosed. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments, known by element or
-by a word of their class, id or role, take no part. Of every block the characters, tags, link characters and link tags
-of its subtree give its composite density: characters per tag, scaled down by the share of links, relative to the
-page's. The block whose children's densities have the greatest sum is the content. An enclosing article or main
-element is taken whole; without one, the content's outermost block is, with its neighbours and the text between them,
-however short, but for menus: what is more than one link and mostly links.
+unclosed. Elements that are menus, footers, sidebars, forms, scripts, styles or media by their name take no part, nor
+does a header outside an article. Of every block the characters, tags, link characters and link tags of its subtree
+give its composite density: characters per tag, scaled down by the share of links, relative to the page's.
+
+The block whose children's densities have the greatest sum is the content. All else is judged against the body path,
+the blocks from the content up to the body: a block beside it is held against the least density on the path from the
+content up to their common ancestor. There must be evidence against a block: outside every article or main element
+where the page has them (1/16), a word of its class, id or role that names an advert, menu, sidebar, notice, footer or
+reader comments (1/16), or, on pages without article or main, several links and little else (1/4). The block goes if
+its density times its evidence is below that threshold; a block without evidence stays, however short. The same
+factors weigh the sums that choose the content. Headings and parts of tables carry no such words, and words for headers
+count only beside the content.
 
 Text: references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
-Cases: null or empty html gives the empty text; html without tags is one block; pages of any length are read whole
-in linear time; repeated ids give a row each. Only the named columns are read.
+Cases: null or empty html gives the empty text; html without tags is one block; an empty table gives none; of equal
+sums the first block in page order is the content, and a density equal to its threshold keeps a block; pages of any
+length and depth are read whole, in about linear time; repeated ids give a row each. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +38,15 @@ ORACLE_SQL = None
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 NAME_START = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object noembed noframes xmp".split())
 DROPPED = RAW | frozenset("nav footer aside form button select dialog menu head canvas audio video fieldset datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input math mi mn mo ms mrow mfrac msup msub msubsup msqrt mroot mtext mspace mstyle mover munder munderover mtable mtr mtd mpadded mphantom menclose semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus cookie cookies consent notice notices popup modal newsletter subscribe related recommended share sharing social widget complementary contentinfo search login signup".split())
+HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar complementary footer contentinfo comment comments disqus cookie cookies consent notice notices popup modal".split())
+HEADER_HINTS = frozenset("header masthead banner".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNHINTED = HEADINGS | frozenset("body html main table thead tbody tfoot tr td th caption colgroup figcaption".split())
+OUTSIDE, NAMED, LINKS = 1 / 16, 1 / 16, 1 / 4
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -48,26 +60,26 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'(
 
 
 class Node:
-    """A block; `parts` holds text and child blocks in page order."""
+    """A block; `parts` holds text and child blocks in page order, None for blocks that take no part."""
 
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "parent", "parts", "depth", "hint", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, hint: str = "", inside: bool = False):
+        self.tag, self.parent, self.dropped, self.hint, self.inside = tag, parent, dropped, hint, inside
+        self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if tag in ("body", "html", "article", "main") or not attributes:
-        return False
+def hint_of(tag: str, attributes: str) -> str:
+    """"named" or "header" where a word of the attributes names something beside the content, else ""."""
+    if not attributes or tag in UNHINTED:
+        return ""
+    words: set[str] = set()
     for match in ATTRIBUTE.finditer(attributes):
-        if not HINTS.isdisjoint(re.split(r"[\s_-]+", (match[1] or match[2] or match[3] or "").lower())):
-            return True
-    return bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", attributes)) and "overflow" not in attributes
+        words.update(re.split(r"[\s_-]+", (match[1] or match[2] or match[3] or "").lower()))
+    return "named" if not HINTS.isdisjoint(words) else "header" if not HEADER_HINTS.isdisjoint(words) else ""
 
 
 class Reader:
@@ -107,12 +119,12 @@ def tree(page: str) -> Node:
     """Parses a page; dropped subtrees leave no nodes."""
     root = node = Node("#page", None, False)
     reader, at, size, links, articles = Reader(page), 0, len(page), 0, 0
-    opened: dict[str, int] = {}
+    opened: dict[str, list[Node]] = {}
 
     def up(node: Node) -> Node:
         nonlocal articles
         articles -= node.tag in ("article", "main")
-        opened[node.tag] -= 1
+        opened[node.tag].pop()
         return node.parent
 
     while at < size:
@@ -150,7 +162,7 @@ def tree(page: str) -> Node:
         if tag in RAW and not closed:
             stop = reader.find("</" + tag, at, True)
             close = reader.find(">", stop) if stop >= 0 else -1
-            at = close + 1 if close >= 0 else (at if tag in ("svg", "math", "object", "title", "textarea") else size)
+            at = close + 1 if close >= 0 else (at if tag in ("svg", "object", "title", "textarea") else size)
             continue
         if tag in INLINE:
             if not node.dropped:
@@ -163,38 +175,38 @@ def tree(page: str) -> Node:
         if tag == "body":
             while node.tag == "head":
                 node = up(node)
-        if top := _ended(node, tag):
+        if top := _ended(node, tag, opened):
             while node is not top:
                 node = up(node)
             node = up(node)
         links = 0
-        child = Node(tag, node, node.dropped or unwanted(tag, attributes, articles > 0))
+        inside = articles > 0 or tag in ("article", "main")
+        child = Node(tag, node, node.dropped or tag in DROPPED or (tag == "header" and not inside), hint_of(tag, attributes), inside)
         if not child.dropped:
             node.parts.append(child)
+        elif tag not in ("button", "select", "canvas", "audio", "video"):
+            node.parts.append(None)  # where a block was
         if tag not in VOID and not (closed and tag not in ("p", "div", "article", "section", "main", "body")):
             node = child
-            opened[tag] = opened.get(tag, 0) + 1
+            opened.setdefault(tag, []).append(child)
             articles += tag in ("article", "main")
     return root
 
 
-def _ended(node: Node, tag: str) -> Node | None:
-    """The open block that an opening tag ends, if any."""
-    if node.tag == "p" or re.fullmatch("h[1-6]", node.tag) and re.fullmatch("h[1-6]", tag):
+def _ended(node: Node, tag: str, opened: dict[str, list[Node]]) -> Node | None:
+    """The open block that an opening tag ends, if any: the innermost that it ends within its list or table; a row ends
+    the outermost."""
+    if node.tag == "p" or tag in HEADINGS and node.tag in HEADINGS:
         return node
-    if tag in CLOSES:
-        ends, bounds = CLOSES[tag]
-        top = None
-        for _ in range(64):  # deeper ones are another list's or table's
-            if node is None or node.tag in bounds:
-                break
-            if node.tag in ends:
-                top = node
-                if tag != "tr":
-                    break
-            node = node.parent
-        return top
-    return None
+    if tag not in CLOSES:
+        return None
+    ends, bounds = CLOSES[tag]
+    floor = max((opened[x][-1].depth for x in bounds if opened.get(x)), default=-1)
+    if tag == "tr":
+        found = [stack[k] for x in ends if (stack := opened.get(x)) and (k := bisect_right(stack, floor, key=lambda n: n.depth)) < len(stack)]
+        return min(found, key=lambda n: n.depth, default=None)
+    found = [opened[x][-1] for x in ends if opened.get(x) and opened[x][-1].depth > floor]
+    return max(found, key=lambda n: n.depth, default=None)
 
 
 def _text(node: Node, text: str, links: int) -> None:
@@ -238,49 +250,74 @@ def menu(chars: int, link_chars: int, link_tags: int) -> bool:
     return link_tags > 1 and 2 * link_chars > chars
 
 
-def content(root: Node) -> list[Node | str]:
-    """The blocks that hold the main text and text beside them, in page order."""
-    order = measured(root)
-    best = max(order, key=lambda x: x.total)
+def chosen(order: list[Node], marked: bool) -> tuple[Node, dict[int, float]]:
+    """The content, and by node id the least density on the path from it up to each block of the body path."""
+    weight: dict[int, float] = {}
+    for node in order:
+        above = weight[id(node.parent)] if node.parent else 1.0
+        weight[id(node)] = above * (NAMED if node.hint else 1.0)
+
+    def weighed(value: float, node: Node) -> float:
+        return value * weight[id(node)] * (OUTSIDE if marked and not node.inside else 1.0)
+
+    best = max(order, key=lambda x: weighed(x.total, x))
     if not best.total:
-        best = max(order, key=lambda x: x.density)
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is not None:
-        while node.parent is not None and node.parent.tag in ("article", "main"):
-            node = node.parent
-        siblings = [x for x in order if x.tag == node.tag and x.parent is node.parent]
-        return siblings if node.tag == "article" and len(siblings) > 1 else [node]
-    path, node = [], best
-    while node is not None and node.tag not in ("body", "html", "#page"):
-        path.append(node)
+        best = max(order, key=lambda x: weighed(x.density, x))
+    path, least, node = {}, math.inf, best
+    while node is not None:
+        least = min(least, node.density)
+        path[id(node)] = least
         node = node.parent
-    if not path:
-        return [best]
-    around = path[-1].parent
-    inner = [x for x in around.parts if type(x) is Node]
-    chars, link_chars, link_tags = (getattr(around, k) - sum(getattr(x, k) for x in inner) for k in ("chars", "link_chars", "link_tags"))
-    loose = not menu(chars, link_chars, link_tags)  # text of no block
-    return [x for x in around.parts if (loose if type(x) is str else x is path[-1] or not menu(x.chars, x.link_chars, x.link_tags))]
+    return best, path
+
+
+def content(root: Node) -> list[str | None]:
+    """The texts that belong to the main text, in page order; None where a block begins or ends."""
+    order = measured(root)
+    marked = any(x.inside for x in order)
+    best, path = chosen(order, marked)
+    out: list[str | None] = []
+    todo: list = [(root, math.inf, False)]
+    while todo:
+        item = todo.pop()
+        if item is None or type(item) is str:
+            out.append(item)
+            continue
+        node, limit, within = item
+        on_path = id(node) in path
+        if on_path:
+            limit = path[id(node)]
+        elif not within or node.hint == "named":
+            factor = (NAMED if node.hint and not (within and node.hint == "header") else 1.0) * (OUTSIDE if marked and not within and not node.inside else 1.0)
+            if not marked and not within and menu(node.chars, node.link_chars, node.link_tags):
+                factor *= LINKS
+            if factor < 1 and node.density * factor < limit:
+                out.append(None)
+                continue
+        own = True  # text of no block beside the content
+        if on_path and node is not best:
+            inner = [x for x in node.parts if type(x) is Node]
+            own = node.inside if marked else not menu(*(getattr(node, k) - sum(getattr(x, k) for x in inner) for k in ("chars", "link_chars", "link_tags")))
+        within = within or node is best or (marked and node.inside)
+        todo.append(None)
+        for part in reversed(node.parts):
+            if type(part) is Node:
+                todo.append((part, limit, within))
+            elif own or part is None:
+                todo.append(part)
+        todo.append(None)
+    return out
 
 
 def main_text(page: str) -> str:
     """The main text of a page."""
-    if not page:
-        return ""
     blocks: list[str] = []
     run: list[str] = []
-    todo: list = content(tree(page))[::-1]
-    while todo:
-        part = todo.pop()
-        if type(part) is str:
+    for part in content(tree(page)) if page else ():
+        if part is None:
+            _block(run, blocks)
+        else:
             run.append(part)
-            continue
-        _block(run, blocks)
-        if part is not None:
-            todo.append(None)
-            todo += reversed(part.parts)
     _block(run, blocks)
     return "\n".join(blocks)
 
