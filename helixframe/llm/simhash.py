@@ -14,18 +14,31 @@ spanning forest of its links rather than all pairs, so groups of many close fing
 
 More groups make cells finer (8 groups: 70 cells for each fingerprint of 24 bits' entropy; 10 groups: 210 of 29 bits).
 
+A cell of more than `hot` rows is not compared where it was gathered: its rows pass on as they come, are dealt into
+blocks by hash, and each pair of blocks is a task's unit of its own, so that a unit holds about `hot` rows at most and no
+link is lost. What a unit gives is a star for each of its linked sets.
+
+Near copies (`one_of_each`): 256 bits a text in four words, linked within 48 bits, which a Jaccard similarity of 0.8 has
+in 95 of 100 pairs (a pair of similarity J differs in a share acos(2J / (1 + J)) / pi of its bits, 39 of 256 at 0.8). An
+exact grid for so many bits would need binomially many cells a row; instead a cell is a choice of `k` one-bit segments
+and their counts, of `tables` random choices. k grows with the logarithm of the number n of fingerprints, so that a cell
+holds about 128 rows, and the number of tables is what a pair of similarity 0.8 needs to share a cell with probability
+1 - `missed`: about n ** 0.24 of them (14 at 5e4, 22 at 2e5, 130 at 1e9, 200 at 1e10). The bound by Manhattan distance is
+the count of the first word's differences, and the exact 256 bits decide.
+
 Copies: only distinct fingerprints enter the search; documents join their class by fingerprint, after aggregation.
 
-Cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other; fewer words
-than a shingle are one shingle; a row with a null id is in its class but never names it (a class of null ids only has
-a null component_id); repeated rows give a row each; an empty table gives none. Only the named columns are read.
+Cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other (one_of_each
+keeps them all); fewer words than a shingle are one shingle; very long texts are hashed in slices; a bit set in exactly
+half the shingles is 0; a row with a null id is in its class but never names it (a class of null ids only has a null
+component_id); repeated rows give a row each; an empty table gives none. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
-from math import comb
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -69,29 +82,50 @@ def fingerprint(data: bytes, shingle: int = 4) -> int:
     return int.from_bytes(majority(hashes.view(np.uint8).reshape(-1, 8)), "little")
 
 
-def fingerprint_pair(data: bytes, shingle: int) -> tuple[int, int]:
-    """Two independent 64-bit fingerprints from one XXH3 of 128 bits for each shingle."""
-    found, n = shingles(data, shingle)
-    bits = majority(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), np.uint8).reshape(-1, 16))
-    return int.from_bytes(bits[:8], "little"), int.from_bytes(bits[8:], "little")
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit words."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+WORDS = 4
+
+
+def wide_fingerprint(data: bytes, shingle: int) -> tuple[int, ...]:
+    """Four 64-bit words: two from one XXH3 of 128 bits for each shingle, two from a mix of its halves."""
+    found, _ = shingles(data, shingle)
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), "<u8").reshape(-1, 2)
+    bits = majority(np.concatenate((halves, mixed(halves)), axis=1).view(np.uint8))
+    return tuple(int.from_bytes(bits[at : at + 8], "little") for at in range(0, 8 * WORDS, 8))
 
 
 def signed(code: int) -> int:
     return code - (1 << 64) if code >> 63 else code
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, paired: bool = False, key: str | None = None) -> DataFrame:
-    """(doc_id, fp), paired also fp2, with the fingerprints as signed longs; key: a further column of longs to keep."""
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, fp), with the fingerprint as a signed long."""
+
+    def run(ids, texts):
+        return {"doc_id": ids, "fp": [signed(fingerprint(t or b"", shingle)) for t in texts]}
+
+    return map_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id bigint, fp bigint")
+
+
+WIDE = [f"fp{k}" for k in range(WORDS)]
 
-    def run(ids, texts, *keys):
-        kept = {"doc_id": ids} | ({key: keys[0]} if key else {})
-        if paired:
-            found = [fingerprint_pair(t or b"", shingle) for t in texts]
-            return kept | {"fp": [signed(a) for a, _ in found], "fp2": [signed(b) for _, b in found]}
-        return kept | {"fp": [signed(fingerprint(t or b"", shingle)) for t in texts]}
 
-    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), *([key] if key else [])]
-    return map_columns(docs.select(columns), run, "doc_id bigint, fp bigint" + ", fp2 bigint" * paired + (f", {key} bigint" if key else ""))
+def wide_fingerprints(docs: DataFrame, shingle: int, key: str) -> DataFrame:
+    """(doc_id, key, fp0 .. fp3); key names a column of longs."""
+
+    def run(ids, texts, keys):
+        found = [wide_fingerprint(t or b"", shingle) for t in texts]
+        return {"doc_id": ids, key: keys} | {name: [signed(f[k]) for f in found] for k, name in enumerate(WIDE)}
+
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), key]
+    return map_columns(docs.select(columns), run, f"doc_id bigint, {key} bigint, " + ", ".join(f"{w} bigint" for w in WIDE))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -107,143 +141,226 @@ def group_masks(groups: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def groups_for(n: int, distance: int, most: int = 16) -> int:
-    """The number of groups that makes the search cheapest for n fingerprints: a row to move costs about as much as
-    1000 comparisons, and a segment's count has 1.5 bits of entropy. The links found are the same for any number."""
+def cells_of(rows: DataFrame, key, choices: int) -> DataFrame:
+    """rows in one cell for each choice; key(words, choice) gives the cells of arrays of unsigned words."""
+    names = rows.columns
 
-    def cost(groups: int) -> float:
-        kept = groups - distance
-        return comb(groups, kept) * (1 + n / 2 ** (48 * kept / groups) / 1000)
+    def run(batches):
+        for batch in batches:
+            whole = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+            for at in range(0, len(whole[0]), 2048):
+                part = [x[at : at + 2048] for x in whole]
+                cell = np.concatenate([key(part, k).view(np.int64) for k in range(choices)])
+                which = np.repeat(np.arange(choices, dtype=np.int16), len(part[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (which, cell, *(np.tile(y.view(np.int64), choices) for y in part))], names=["choice", "cell", *names])
 
-    return min(range(distance + 1, max(most, distance + 1) + 1), key=cost)
+    return rows.mapInArrow(run, "choice smallint, cell bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def links(fps: DataFrame, distance: int = 4, groups: int = 8, second: int | None = None) -> DataFrame:
-    """(a, b): a spanning set of the pairs of distinct fingerprints within `distance` bits.
+def compared(grid: DataFrame, unit: list[str], close, hot: int | None) -> DataFrame:
+    """Stars of the linked rows within each unit of grid (unit columns, then node, then words): (a, b) and nulls. With
+    `hot`, the rows of larger units are not compared but returned, with null a and b."""
+    names = grid.columns
+    first = len(unit)
 
-    second: pairs must also be within so many bits by their second fingerprints, the column fp2.
-    """
-    masks = group_masks(groups)
-    choices = [sum(masks[i] for i in chosen) for chosen in combinations(range(groups), groups - distance)]
-    more = [] if second is None else ["fp2"]
+    def star(columns, bounds):
+        a, b = stars(columns[first].view(np.uint64), [x.view(np.uint64) for x in columns[first:]], bounds, close)
+        if len(a):
+            empty = {n: pa.nulls(len(a), grid_types[n]) for n in names}
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *empty.values()], names=["a", "b", *names])
 
-    def cells(batches):
-        odd = np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            whole = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
-            for at in range(0, len(whole[0]), 8192):
-                part = [x[at : at + 8192] for x in whole]
-                u = embed(part[0])
-                # an odd multiple of the masked counts is one-to-one; the choice is a column of its own
-                key = np.concatenate([((u & np.uint64(m)) * odd).view(np.int64) for m in choices])
-                which = np.repeat(np.arange(len(choices), dtype=np.int16), len(u))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (which, key, *(np.tile(y.view(np.int64), len(choices)) for y in part))], names=["choice", "cell", "fp", *more])
-
-    def verify(batches):
-        held = None
+    def passed(columns):
+        if len(columns[0]):
+            none = pa.nulls(len(columns[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *map(pa.array, columns)], names=["a", "b", *names])
+
+    def run(batches):
+        held, large = None, False  # rows of the last unit, and whether earlier ones of it have been passed on
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(now[0]):
+                continue
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            choice, cell, *codes = now
-            if not len(cell):
-                continue
-            new = np.flatnonzero((choice[1:] != choice[:-1]) | (cell[1:] != cell[:-1])) + 1
-            cut = int(new[-1]) if len(new) else 0  # the last cell may go on in the next batch
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:first]])) + 1
+            if large:  # the rows up to the first new unit belong to what is passed on
+                end = int(new[0]) if len(new) else len(now[0])
+                yield from passed([x[:end] for x in now])
+                now, new, large = [x[end:] for x in now], new[1:] - end, not len(new)
+                if large:
+                    held = None
+                    continue
+            cut = int(new[-1]) if len(new) else 0
+            bounds = np.concatenate(([0], new))
+            if hot is not None:
+                for k in np.flatnonzero(np.diff(bounds) > hot).tolist():
+                    yield from passed([x[bounds[k] : bounds[k + 1]] for x in now])
+            if cut:
+                yield from star([x[:cut] for x in now], bounds if hot is None else small_bounds(bounds, hot))
             held = [x[cut:].copy() for x in now]
-            yield from found([x[:cut] for x in codes], np.concatenate(([0], new)) if len(new) else new)
+            if hot is not None and len(held[0]) > hot:
+                yield from passed(held)
+                held, large = None, True
         if held is not None:
-            yield from found(held[2:], np.array([0, len(held[2])]))
-
-    def found(codes, bounds):
-        if not len(codes[0]):
-            return
-        a, b = cell_links([x.view(np.uint64) for x in codes], bounds, distance, second)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            yield from star(held, np.array([0, len(held[0])]))
+
+    grid_types = {f.name: pa.int16() if f.dataType.simpleString() == "smallint" else pa.int32() if f.dataType.simpleString() == "int" else pa.int64() for f in grid.schema}
+    out = "a bigint, b bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.schema)
+    return grid.repartition(*unit).sortWithinPartitions(*unit, names[first]).mapInArrow(run, out)
+
+
+def small_bounds(bounds: np.ndarray, hot: int) -> np.ndarray:
+    """bounds with the ranges above hot cut into single rows, which have no pairs."""
+    return np.concatenate([np.arange(a, b) if b - a > hot else np.array([a]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] + [bounds[-1:]])
+
+
+def searched(grid: DataFrame, close, hot: int = 20_000) -> DataFrame:
+    """(a, b): stars of all rows of grid (choice, cell, node, words) that are close within a cell."""
+    found = stash(compared(grid, ["choice", "cell"], close, hot))
+    pairs = found.where("a is not null").select("a", "b")
+    rest = found.where("a is null").drop("a", "b")
+    if not rest.isEmpty():
+        node = grid.columns[2]
+        sizes = rest.groupBy("choice", "cell").agg(F.ceil(F.count("*") * 2 / hot).cast("int").alias("blocks"))
+        dealt = rest.join(sizes, ["choice", "cell"]).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        units = dealt.select("choice", "cell", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), *grid.columns[2:])
+        pairs = pairs.unionByName(compared(units, ["choice", "cell", "u", "v"], close, None).select("a", "b"))
+    return pairs.distinct()
+
+
+def close_within(distance: int, words: int):
+    """close(a, b): indexes of the pairs of rows (node, words) within so many bits; a first bound by the Manhattan
+    distance of the first word's segment counts, then by its bits, then all words."""
+
+    def close(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        def bits(k, near):
+            return np.bitwise_count((a[k][near] if a[k].ndim else a[k]) ^ b[k][near]).astype(np.int32)
+
+        near = np.flatnonzero(np.bitwise_count(a[0] ^ b[0]) <= distance)  # [0]: embedding
+        total = bits(1, near)
+        for k in range(2, words + 1):
+            stay = total <= distance
+            near, total = near[stay], total[stay]
+            total = total + bits(k, near)
+        return near[total <= distance]
+
+    return close
+
+
+def stars(node: np.ndarray, columns: list[np.ndarray], bounds: np.ndarray, close, small: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, row) for the linked rows within each range of bounds: all pairs are compared where a range has up to
+    `small` rows; of larger ones each linked set is grown from a row. columns: the node, then the fingerprint's words."""
+    words = columns[1:] or columns
+    codes = [embed(words[0]), *words]
+    n, sizes = int(bounds[-1]), np.diff(bounds)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left, right = [], []
+    i = np.flatnonzero((sizes <= small)[owner]) if len(sizes) else np.zeros(0, dtype=np.int64)
+    for lag in range(1, min(small, int(sizes.max(initial=0)) + 1)):
+        i = i[i + lag < n]
+        i = i[owner[i + lag] == owner[i]]
+        if not len(i):
+            break
+        hit = i[close([x[i] for x in codes], [x[i + lag] for x in codes])]
+        left.append(hit)
+        right.append(hit + lag)
+    for k in np.flatnonzero(sizes > small).tolist():
+        at = np.arange(bounds[k], bounds[k + 1])
+        rest = [x[bounds[k] : bounds[k + 1]] for x in codes]
+        while len(at) > 1:
+            todo = [(at[0], [x[0] for x in rest])]
+            at, rest = at[1:], [x[1:] for x in rest]
+            while todo and len(at):
+                one, code = todo.pop()
+                hit = close(code, rest)
+                if len(hit):
+                    left.append(np.full(len(hit), one))
+                    right.append(at[hit])
+                    todo += [(at[j], [x[j] for x in rest]) for j in hit.tolist()]
+                    stay = np.ones(len(at), dtype=bool)
+                    stay[hit] = False
+                    at, rest = at[stay], [x[stay] for x in rest]
+    if not left or not sum(map(len, left)):
+        return node[:0], node[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    member = np.flatnonzero(label != np.arange(n))
+    return node[label[member]], node[member]
+
+
+def links(fps: DataFrame, distance: int = 4, groups: int = 8, hot: int = 20_000) -> DataFrame:
+    """(a, b): a spanning set of the links of distinct fingerprints (fp) within `distance` bits; none is lost."""
+    masks = group_masks(groups)
+    choices = [np.uint64(sum(masks[i] for i in chosen)) for chosen in combinations(range(groups), groups - distance)]
+    odd = np.uint64(0x9E3779B97F4A7C15)
 
-    grid = fps.select("fp", *more).mapInArrow(cells, "choice smallint, cell bigint, fp bigint" + ", fp2 bigint" * len(more))
-    grid = grid.repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
-    return grid.mapInArrow(verify, "a bigint, b bigint").distinct()
+    def key(words, k):
+        # an odd multiple of the masked counts is one-to-one
+        return (embed(words[0]) & choices[k]) * odd
 
+    return searched(cells_of(fps.select("fp"), key, len(choices)), close_within(distance, 1), hot)
 
-def close(a: list[np.ndarray], b: list[np.ndarray], distance: int, second: int | None) -> np.ndarray:
-    """Indexes of the linked pairs of (fingerprint, embedding, second fingerprint, if any): the embedding's Manhattan
-    distance sieves first."""
 
-    def kept(near, k, most):
-        x = a[k][near] if a[k].ndim else a[k]
-        return near[np.bitwise_count(x ^ b[k][near]) <= most]
+def tables_for(n: int, similarity: float, missed: float, held: int = 128) -> tuple[int, int]:
+    """(segments in a choice, choices) for n fingerprints: about `held` rows a cell, and a pair of that similarity shares
+    no cell with a probability of `missed`."""
+    k = max(6, ceil(log2(max(2, n) / held)))
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    return k, ceil(log(missed) / log(1 - (1 - differ) ** k))
 
-    near = np.flatnonzero(np.bitwise_count(a[1] ^ b[1]) <= distance)
-    near = kept(near, 0, distance)
-    return near if second is None else kept(near, 2, second)
 
+def near_links(nodes: DataFrame, distance: int, similarity: float, missed: float, hot: int = 20_000) -> DataFrame:
+    """(a, b): stars of the nodes (node, fp0 .. fp3) within `distance` of 256 bits that share a random cell."""
+    k, choices = tables_for(nodes.count(), similarity, missed)
+    dice = np.random.default_rng(64)
+    masks = np.zeros((choices, WORDS), dtype=np.uint64)
+    for row in masks:
+        for bit in dice.choice(64 * WORDS, k, replace=False).tolist():
+            row[bit // 64] |= np.uint64(1 << bit % 64)
+    odds = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
-def cell_links(codes: list[np.ndarray], bounds: np.ndarray, distance: int, second: int | None = None, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each cell bounds[i]:bounds[i + 1]: all pairs in cells of up to `small`, else a spanning forest."""
-    fp, sizes = codes[0], np.diff(bounds)
-    codes = [fp, embed(fp), *codes[1:]]
-    left, right = [], []
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    few = (sizes <= small)[owner] if len(sizes) else np.zeros(0, bool)
-    for lag in range(1, min(small, int(sizes.max(initial=0)))):
-        i = np.flatnonzero(few[lag:] & (owner[lag:] == owner[:-lag]))
-        hit = i[close([x[i] for x in codes], [x[i + lag] for x in codes], distance, second)]
-        left.append(fp[hit])
-        right.append(fp[hit + lag])
-    for k in np.flatnonzero(sizes > small):
-        rest = [x[bounds[k] : bounds[k + 1]] for x in codes]
-        while len(rest[0]) > 1:
-            todo = [[x[0] for x in rest]]
-            rest = [x[1:] for x in rest]
-            while todo and len(rest[0]):
-                one = todo.pop()
-                hit = close(one, rest, distance, second)
-                if len(hit):
-                    left.append(np.full(len(hit), one[0]))
-                    right.append(rest[0][hit])
-                    todo += [list(x) for x in zip(*(y[hit] for y in rest), strict=True)]
-                    stay = np.ones(len(rest[0]), dtype=bool)
-                    stay[hit] = False
-                    rest = [x[stay] for x in rest]
-    if not left:
-        return fp[:0], fp[:0]
-    return np.concatenate(left), np.concatenate(right)
+    def key(columns, c):
+        # a sum of odd multiples: chance meetings of unlike counts only add comparisons
+        return np.add.reduce([(columns[1 + w] & masks[c, w]) * odds[w] for w in range(WORDS)])
 
+    return searched(cells_of(nodes.select("node", *WIDE), key, choices), close_within(distance, WORDS), hot)
 
-def classes(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int | None = 8, second: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id that links reach. groups: None lets the number of fingerprints decide.
 
-    second: also compares a second, independent fingerprint, within so many bits, which keeps texts that resemble one
-    another by chance in 64 bits apart; texts of equal first fingerprints share the least second one.
-    """
-    if groups is not None and not 0 <= distance < groups <= 32:
+def classes(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = 8) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id that links reach."""
+    if not 0 <= distance < groups <= 32:
         raise ValueError("0 <= distance < groups <= 32")
-    paired = second is not None
-    marked = stash(fingerprints(docs, shingle, paired))
-    joined = rooted(marked, F.col("doc_id"), distance, groups, second)
+    marked = stash(fingerprints(docs, shingle))
+    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected(links(nodes, distance, groups)).withColumnRenamed("node", "fp")
+    joined = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.select("doc_id", "fp").join(named, "fp")
 
 
-def rooted(marked: DataFrame, first: Column, distance: int, groups: int | None, second: int | None) -> DataFrame:
-    """Each distinct fingerprint with its class's root and the least value of first."""
-    nodes = stash(marked.groupBy("fp").agg(F.min(first).alias("first"), *([F.min("fp2").alias("fp2")] if second is not None else [])))
-    roots = connected(links(nodes, distance, groups or groups_for(nodes.count(), distance), second))
-    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 8, second: int = 16) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 48, similarity: float = 0.8, missed: float = 0.03) -> DataFrame:
     """docs, with all columns, of which a row with its class's least doc_id stays, found by its id and text (of equal ones, one).
 
-    Rows without an id and rows without a word (null, empty or white space) all stay.
+    Rows without an id and rows without a word (null, empty or white space) all stay. Two texts are linked if their wide
+    fingerprints differ in at most `distance` of 256 bits and meet in a cell (see the head of this module).
     """
     worded = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     texts = docs.where(worded).withColumn("_text", F.xxhash64("text"))
-    marked = stash(fingerprints(texts, shingle, True, "_text"))
-    least = rooted(marked, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text")), distance, None, second).groupBy("root").agg(F.min("first").alias("first"))
+    marked = wide_fingerprints(texts, shingle, "_text")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text"))).alias("first")
+    nodes = stash(marked.groupBy(*WIDE).agg(first).withColumn("node", F.monotonically_increasing_id()))
+    roots = connected(near_links(nodes, distance, similarity, missed))
+    least = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = least.where("first is not null").select("first.doc_id", "first._text")
     named = texts.join(stay, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
     return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | ~worded))

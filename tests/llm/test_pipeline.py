@@ -14,25 +14,22 @@ from tests.llm.test_secrets import base_spans
 
 
 def one_of_each(marked):
-    """Least id of each class of (id, fingerprint, second fingerprint), by all pairs."""
-    second = {}
-    for _, a, b in marked:
-        second[a] = min(second.get(a, b), b, key=simhash.signed)
-    codes, parent = list(second), {a: a for a in second}
+    """Least id of each class of (id, wide fingerprint), by all pairs."""
+    codes = list({f for _, f in marked})
+    words, parent = np.array(codes, dtype=np.uint64), list(range(len(codes)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for k, a in enumerate(codes):
-        for b in codes[k + 1 :]:
-            if (a ^ b).bit_count() <= 8 and (second[a] ^ second[b]).bit_count() <= 16:
-                parent[root(a)] = root(b)
-    least = {}
-    for i, a, _ in marked:
-        least[root(a)] = min(i, least.get(root(a), i))
-    return sorted(least.values())
+    for k in range(len(codes)):
+        for j in np.flatnonzero(np.bitwise_count(words[k] ^ words[k + 1 :]).sum(1) <= 48).tolist():
+            parent[root(k)] = root(k + 1 + j)
+    at, least = {f: k for k, f in enumerate(codes)}, {}
+    for i, f in marked:
+        least[root(at[f])] = min(i, least.get(root(at[f]), i))
+    return set(least.values())
 
 
 def test_stages_on_documents(spark):
@@ -59,7 +56,10 @@ def test_stages_on_documents(spark):
 
     once = stages["near_dedup"](spark, docs, SF)
     assert once.schema == docs.schema
-    assert sorted(r.doc_id for r in once.collect()) == one_of_each([(r.doc_id, *simhash.fingerprint_pair(r.text.encode(), 5)) for r in given])
+    stay = {r.doc_id for r in once.collect()}
+    want = one_of_each([(r.doc_id, simhash.wide_fingerprint(r.text.encode(), 5)) for r in given])
+    # cells are sampled: what all pairs keep stays, and nearly all that they drop goes
+    assert want <= stay and len(stay - want) <= 0.03 * (len(given) - len(want))
 
     free = stages["decontaminate"](spark, docs, SF)
     assert free.schema == docs.schema

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -68,7 +69,7 @@ def test_links_lose_nothing(spark):
         for _ in range(30):
             codes.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 8))))
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
-    for distance, groups in ((4, 8), (6, 9), (8, 10), (8, 11)):
+    for distance, groups in ((4, 8), (6, 9), (8, 10)):
         found = components(simhash.links(spark.createDataFrame(signed, "fp bigint"), distance, groups)).collect()
         classes = {}
         for r in found:
@@ -88,9 +89,50 @@ def test_embedding_is_a_lower_bound():
     assert (manhattan <= np.bitwise_count(a ^ b)).all()
 
 
-def test_number_of_groups_follows_the_number_of_fingerprints():
-    found = [simhash.groups_for(n, 8) for n in (1, 10**5, 10**7, 10**9, 10**11)]
-    assert found == sorted(found) and found[0] == 9 and found[-1] <= 16
+def test_the_number_of_tables_grows_slowly():
+    found = [simhash.tables_for(n, 0.8, 0.03) for n in (1, 10**5, 10**7, 10**9, 10**10)]
+    assert found == sorted(found) and found[0][1] < 12 and found[3][1] < 200 and found[4][1] < 300
+    # rows in a cell stay about the same
+    assert all(64 <= n / 2**k <= 256 for n, (k, _) in zip((10**5, 10**7, 10**9), found[1:4], strict=True))
+
+
+def test_hot_cells_are_split_and_lose_nothing(spark):
+    rng = random.Random(9)
+    codes = {0}
+    for _ in range(6):  # many fingerprints of few bits share cells
+        codes |= {c ^ (1 << b) for c in rng.sample(sorted(codes), min(len(codes), 40)) for b in rng.sample(range(64), 20)}
+    codes |= {c ^ ((1 << 40) - 1) for c in rng.sample(sorted(codes), 100)}
+    fps = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp bigint").repartition(8)
+    whole = {(r.node, r.root) for r in components(simhash.links(fps, 2, 4)).collect()}
+    for hot in (10, 64, 500):
+        assert {(r.node, r.root) for r in components(simhash.links(fps, 2, 4, hot)).collect()} == whole
+    want = {i: least for i, _, least in brute([(c, c) for c in codes], 2)}
+    sizes = sorted(Counter(want.values()).values())
+    assert sorted(Counter(r for _, r in whole).values()) == [n for n in sizes if n > 1]
+
+
+def jaccard(a, b):
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+
+
+def test_near_copies_of_similarity_080_are_caught_and_others_left(spark):
+    rng = random.Random(11)
+    pairs = []
+    for k in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 500))]
+        near = list(words)
+        for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice((0.005, 0.015, 0.021, 0.08))))):
+            near[at] = f"x{rng.randrange(10**6)}"
+        pairs.append((" ".join(words), " ".join(near)))
+    docs = documents(spark, [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)])
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    alike = [k for k, p in enumerate(pairs) if 0.8 <= jaccard(*p)]
+    apart = [k for k, p in enumerate(pairs) if jaccard(*p) < 0.55]
+    assert len(alike) > 200 and len(apart) > 100
+    assert np.mean([2 * k + 1 not in kept for k in alike]) >= 0.9
+    assert np.mean([2 * k + 1 in kept for k in apart]) >= 0.97
+    assert all(2 * k in kept for k in range(len(pairs)))
 
 
 def test_components_of_long_chains_and_stars(spark):
