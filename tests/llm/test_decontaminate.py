@@ -1,6 +1,7 @@
 """Hits against DuckDB and plain Python; blocks of the benchmark against one."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -72,3 +73,16 @@ def test_remove_spans(spark):
     assert sorted(got) == [1, 3, 4]
     assert got[1].text == "before the passage stand these eight words here, and after it some more words follow" and got[1].n_chars == len(got[1].text)
     assert got[3].text == "clean text" and got[4].text is None
+
+
+def test_remove_spans_block_by_block_gives_the_same(spark):
+    items = [(k, " ".join(f"w{(3 * k + j) % 40}" for j in range(10 + k % 3))) for k in range(12)] + [(50, "p q"), (51, "r s")]
+    rng = random.Random(4)
+    texts = [(k, " ".join(rng.choice([rng.choice(items)[1], "clean words", "p r s q", "z"]) for _ in range(8))) for k in range(60)]
+    docs = documents(spark, [*texts, (60, None), (61, ""), (0, texts[0][1]), (None, "p q and many clean words stand here")])
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = decontaminate.remove_spans(docs, bench)
+    assert rows(decontaminate.remove_spans(docs, bench, block_bytes=120)) == rows(whole)
+    left = whole.collect()
+    assert 5 < len(left) < 64 and not any(x[5] for x in brute([(r.doc_id, r.text) for r in left], items))
+    assert decontaminate.remove_spans(docs.limit(0), bench, block_bytes=120).count() == 0

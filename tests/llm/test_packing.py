@@ -91,3 +91,21 @@ def test_both_tokenizer_libraries_agree():
     for _ in range(400):
         text = "".join(rng.choice(chars) for _ in range(rng.randrange(60)))
         assert [*own.ids(text), 0] == ids(text) or not text
+
+
+def test_both_libraries_agree_on_every_character_of_the_fast_set():
+    coder = packing.Encoder()
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(coder.path)
+    fast = [c for c in map(chr, range(0x2100)) if not packing.RARE.search(c)]
+    assert len(fast) > 500
+    kinds = ["a", "Z", "é", "7", " ", "\n", "\r\n", "\t", "'", "'s", "'LL", ".", "-", "_", " ", "’", "²", "ǅ"]
+    kinds = [k for k in kinds if not packing.RARE.search(k)]
+    texts = [c for c in fast] + [c * 40 for c in fast] + [a + c + b for c in fast for a, b in zip(kinds, kinds[3:] + kinds[:3], strict=True)]
+    texts += [f"{c}{c} {c}x {c}1  {c}\n{c}" for c in fast] + [a + b + c for a in kinds for b in kinds for c in kinds]
+    texts += [k * 20_000 for k in kinds] + ["".join(fast[at::7]) * 30 for at in range(7)]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for text, want in zip(part, slow.encode_batch(part, add_special_tokens=False), strict=True):
+            assert coder.ids(text) == want.ids, text[:60]
