@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,12 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _drop(files, place) -> None:
+    """Deletes a folder; the folder stays if the JVM is gone."""
+    with contextlib.suppress(Exception):
+        files.delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Like stash, as compressed Parquet in the same shared folder: for large tables that are read more than once."""
+    """Like stash, as compressed Parquet in the same shared folder: for large tables that are read more than once. The
+    table is deleted when the application ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder.rstrip('/')}/helixframe-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_drop, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
