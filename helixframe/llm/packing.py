@@ -12,7 +12,8 @@
    by length and rank range, gives its sequence and offset.
 
 Cases: a null or empty text is one piece that holds the end id alone; repeated ids are packed like others; an empty
-table gives no rows. Only the named columns are read. A capacity below 1 is an error.
+table gives no rows; very long texts are encoded whole; of equally tight bins the first is taken, and equal lengths go by
+task and rank. Only the named columns are read. A capacity below 1 is an error.
 """
 
 from __future__ import annotations

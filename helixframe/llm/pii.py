@@ -8,7 +8,8 @@ numbers named by a cue (account, ssn, passport).
 Each kind's spans are those of a leftmost scan that does not overlap; a match that fails its check is dropped and its
 characters are used up. Parsers walk each run once, so very long runs cost linear time. Spans are in code points.
 
-Cases: a null or empty text has no spans; repeated ids give a row each. Only the named columns are read.
+Cases: a null or empty text has no spans; repeated ids give a row each; an empty table gives none; very long
+texts are searched whole; spans of one start are listed by kind. Only the named columns are read.
 """
 
 from __future__ import annotations

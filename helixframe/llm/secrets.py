@@ -4,7 +4,9 @@ The three base rules (assign, access, hex) and the added ones (vendor key format
 together (see `automaton`); where the pass reaches an accepting state, the rule's own reverse and forward automata
 give the leftmost start and the longest end. Spans are in code points with the end exclusive.
 
-Cases: a null or empty text has no spans. Repeated ids give one row for each row. Only the named columns are read.
+Cases: a null or empty text has no spans. Repeated ids give one row for each row; an empty table
+gives none; very long texts are scanned whole in one pass; spans of one start are listed by kind. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -92,7 +94,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with every found span of `text` replaced by the mask (spans that touch or overlap share one) and n_chars set to match."""
+    """docs with every found span of `text` replaced by the mask (spans that touch or overlap share one) and n_chars set to match.
+
+    Cases: null and empty texts stay as they are; repeated rows are each masked; other columns are kept as they are; an
+    empty table stays empty.
+    """
     scan = scanner()
     fields = docs.schema
 

@@ -18,7 +18,8 @@ Texts are known by a 64-bit hash and their length, so copies of a text share the
 is bounded: `hot` surroundings of under 2 * length bytes, or one text.
 
 Cases: a null or empty text has no bytes and keeps none; texts shorter than `length` are kept whole; overlapping
-repeats in one text count; repeated ids give a row each; an empty table gives none. Only the named columns are read.
+repeats in one text count; repeated ids give a row each (a repeated text is removed in
+all its rows); very long texts are read in overlapping parts; an empty table gives none. Only the named columns are read.
 """
 
 from __future__ import annotations

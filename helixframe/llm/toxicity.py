@@ -10,6 +10,8 @@ ships to the workers is a dictionary of at most `max_features` weights.
 
 Cases: a null or empty text has no sentence and scores 0. Ids that repeat are scored once per row. A label that is
 null is ignored; of several labels of one id the highest counts. With no toxic or no clean label every score is 0.
+An empty table gives no rows; very long texts are scored whole, sentence by sentence; features of equal gain are
+chosen by name, sampled rows of equal hash by id.
 Columns other than those named are never read, so clashing names do not matter.
 """
 
@@ -201,7 +203,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, that score below the threshold."""
+    """The documents, with all their columns, that score below the threshold.
+
+    Cases: null and empty texts score 0 and stay; a score equal to the threshold goes; repeated rows are judged alike; an
+    empty table stays empty.
+    """
     fields, weights, bias = docs.schema, model.weights, model.bias
 
     def run(*columns):
