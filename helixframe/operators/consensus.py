@@ -55,10 +55,13 @@ def _tail(pairs: DataFrame, q: float) -> DataFrame:
     return pairs.join(distinct.withColumn("miss", incomplete_beta(F.col("x").cast("double"), F.col("m") - F.col("x"), F.lit(q))), ["x", "m"])
 
 
-def majority_calls(found: DataFrame, cutoff: float = 0.99, indel_prior: float = 0.2, weight: float = 1.0, majority: float = 0.5) -> DataFrame:
-    """Adds call (null below the cutoff) and p, the posterior probability that the first item has the majority."""
+def majority_calls(found: DataFrame, cutoff: float = 0.99, indel_prior: float = 0.2, weight: float = 1.0, majority: float = 0.5, prior_of=None) -> DataFrame:
+    """Adds call (null below the cutoff) and p, the posterior probability that the first item has the majority.
+
+    prior_of: gives an item's prior weight where it is not that of a base or gap.
+    """
     top = F.element_at("evidence", 1)
-    prior = F.when(top["item"] == "-", indel_prior * weight).otherwise((weight - indel_prior * weight) / 4)
+    prior = prior_of(top["item"]) if prior_of else F.when(top["item"] == "-", indel_prior * weight).otherwise((weight - indel_prior * weight) / 4)
     pairs = found.withColumn("x", F.round(top["n"] + prior, 6)).withColumn("m", F.round(F.col("total") + weight, 6))
     p = 1 - F.col("miss")
     return _tail(pairs, majority).withColumn("call", F.when(p >= cutoff, top["item"])).withColumn("p", F.when(p >= cutoff, p).otherwise(1.0)).drop("x", "m", "miss")

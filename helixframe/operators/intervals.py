@@ -96,12 +96,12 @@ def transcripts(runs: DataFrame, keys: list[str], min_depth: int = 1, median_dep
     return found.where(F.col("median") >= median_depth).drop("island")
 
 
-def modes(runs: DataFrame, keys: list[str], min_depth: int = 5, radius: int = 20, bin_size: int = 4096) -> DataFrame:
+def modes(runs: DataFrame, keys: list[str], min_depth: int = 5, radius: int = 20, bin_size: int | None = None) -> DataFrame:
     """Runs of min_depth with no greater depth within `radius` and no equal one before them there: (keys, start, end, depth)."""
     good = runs.where(F.col("depth") >= min_depth)
     near = good.select(*keys, (F.col("start") - radius).alias("s0"), (F.col("end") + radius).alias("e0"), "start", "end", "depth")
     others = good.select(*keys, F.col("start").alias("qs"), F.col("end").alias("qe"), F.col("depth").alias("q_depth"))
-    beaten = overlap_join(near, others, keys, bin_size).where("q_depth > depth or (q_depth = depth and qs < start)").select(*keys, "start").distinct()
+    beaten = overlap_join(near, others, keys, bin_size or max(32, 2 * radius)).where("q_depth > depth or (q_depth = depth and qs < start)").select(*keys, "start").distinct()
     return good.join(beaten, [*keys, "start"], "left_anti").select(*keys, "start", "end", "depth")
 
 

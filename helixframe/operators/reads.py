@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq as sq
+from helixframe.operators.ordered import with_running
 
 #: Record filters by name, each from its argument; all keep the record's columns (file, ord, name, seq, qual).
 FILTERS = {
@@ -128,9 +129,8 @@ def kmer_stats(counts: DataFrame) -> DataFrame:
     """Number of different k-mers and of all, mean, weighted median and greatest multiplicity."""
     hist = multiplicities(counts)
     total = hist.agg(F.sum("kmers").alias("distinct"), F.sum(F.col("n") * F.col("kmers")).alias("total"), F.max("n").alias("most"))
-    upto = hist.alias("a").join(F.broadcast(hist.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("n", "kmers"))).alias("all"))).alias("b"))
-    below = F.aggregate(F.map_entries("all"), F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(x["key"] <= F.col("n"), x["value"] * x["key"]).otherwise(0))
-    median = upto.select("n", below.alias("upto")).crossJoin(F.broadcast(total)).where(2 * F.col("upto") > F.col("total")).agg(F.min("n").alias("median"))
+    upto = with_running(hist.withColumn("_all", F.lit(0)), ["_all"], "n", {"upto": F.col("n") * F.col("kmers")})
+    median = upto.crossJoin(F.broadcast(total)).where(2 * F.col("upto") > F.col("total")).agg(F.min("n").alias("median"))
     return total.crossJoin(median).select("distinct", "total", F.round(F.col("total") / F.col("distinct"), 6).alias("mean"), "median", "most")
 
 

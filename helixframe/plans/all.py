@@ -1,3 +1,3 @@
 """Imports every plan module, so that each registers its queries."""
 
-from helixframe.plans import count_queries, interval_queries, read_queries, site_queries  # noqa: F401
+from helixframe.plans import calling_queries, count_queries, interval_queries, read_queries, site_queries, track_queries  # noqa: F401
