@@ -61,9 +61,14 @@ def fisher_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
     """G14 for 2x2: two-sided exact p of a table [[a, b], [c, d]]: the sum over tables of the same margins as likely or less.
 
     Likelihoods follow from one table to the next by their ratio and are normalised by their sum, in two passes, so
-    that rounding does not grow with the totals.
+    that rounding does not grow with the totals. Only tables within 40 standard deviations and 40 of the expected one
+    are visited, so that the work grows with the root of the counts; what lies beyond is below 1e-100, and so is then p,
+    which is given as 0.
     """
-    first, last = F.greatest(F.lit(0), a - d), F.least(a + b, a + c)
+    n = a + b + c + d
+    middle = (a + b) * (a + c) / n
+    reach = 40 * F.sqrt(middle * (c + d) / n * (b + d) / F.greatest(F.lit(1.0), n - 1)) + 40
+    first, last = F.greatest(F.lit(0), a - d, F.floor(middle - reach)), F.least(a + b, a + c, F.ceil(middle + reach))
     every = F.sequence(first.cast("bigint"), last.cast("bigint"))
 
     def following(log_p, x):
@@ -78,4 +83,4 @@ def fisher_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
         return F.struct(s["scale"].alias("scale"), following(s["at"], x).alias("at"), (s["all"] + p).alias("all"), (s["low"] + F.when(s["at"] <= s["scale"]["seen"] + 1e-6, p).otherwise(0.0)).alias("low"))
 
     start = F.struct(scale.alias("scale"), zero.alias("at"), zero.alias("all"), zero.alias("low"))
-    return F.aggregate(every, start, add, lambda s: s["low"] / s["all"])
+    return F.when(n > 0, F.when((a < first) | (a > last), 0.0).otherwise(F.aggregate(every, start, add, lambda s: s["low"] / s["all"]))).otherwise(1.0)

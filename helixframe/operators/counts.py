@@ -55,9 +55,9 @@ def tmm(counts: DataFrame, reference: str, log_trim: float = 0.3, sum_trim: floa
     total = both.groupBy("sample").agg(F.count("*").alias("total"))
 
     def ranked(df, column):
-        """Mean rank of ties, by counts of each value."""
-        ties = df.groupBy("sample", column).agg(F.count("*").alias("_n"))
-        upto = ties.withColumn("_upto", F.sum("_n").over(Window.partitionBy("sample").orderBy(column)))
+        """Mean rank of ties, by counts of each value, summed up in blocks of the value."""
+        ties = df.groupBy("sample", column).agg(F.count("*").alias("_n")).withColumn("_bucket", F.floor(F.col(column) * (1 << 16)))
+        upto = with_running(ties, ["sample"], "_bucket", {"_upto": F.col("_n")}, order=[column], block=1 << 10)
         return df.join(upto.select("sample", column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r_{column}")), ["sample", column])
 
     both = ranked(ranked(both, "m"), "a").join(F.broadcast(total), "sample")

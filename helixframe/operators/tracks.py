@@ -127,9 +127,11 @@ def reduced(log: DataFrame, key: str, value: str) -> DataFrame:
 
 def clean_runs(seqs: DataFrame, good: DataFrame, k: int) -> DataFrame:
     """Each sequence cut to its longest run of positions whose k-mer is in `good`, the first of equal ones; empty if there is none."""
-    starts = F.sequence(F.lit(0), F.length("seq") - k)
-    windows = F.when(F.length("seq") >= k, F.transform(starts, lambda i: F.substring(F.upper("seq"), i + 1, F.lit(k))))
-    each = seqs.select("name", F.posexplode(windows).alias("i", "raw")).select("name", "i", sq.canonical(F.col("raw")).alias("kmer")).join(good.select("kmer"), "kmer", "left_semi")
+    # slices of bytes; either strand is made once a sequence
+    whole, n = F.upper("seq"), F.octet_length("seq")
+    both = F.struct(whole.cast("binary").alias("f"), sq.reverse_complement(whole).cast("binary").alias("r"))
+    windows = bound(both, lambda x: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.least(F.substring(x["f"], i, F.lit(k)), F.substring(x["r"], n - k + 2 - i, F.lit(k))).cast("string")))
+    each = seqs.where(n >= k).select("name", F.posexplode(windows).alias("i", "kmer")).join(good.select("kmer"), "kmer", "left_semi")
     place = Window.partitionBy("name").orderBy("i")
     runs = each.withColumn("_g", F.col("i") - F.row_number().over(place)).groupBy("name", "_g").agg(F.min("i").alias("start"), F.count("*").alias("size"))
     best = runs.groupBy("name").agg(F.max_by(F.struct("start", "size"), F.struct("size", -F.col("start"))).alias("x"))

@@ -71,24 +71,14 @@ def tmm_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.tmm(view(spark, sf_dir, "counts"), "NO")
 
 
-@register("fisher_tests", oracle(["counts"], """t as (select feature, cast(coalesce(sum(n) filter (sample in ('AF', 'RF')), 0) as bigint) as x, cast(coalesce(sum(n) filter (sample in ('NO', 'NF')), 0) as bigint) as y from counts group by feature),
-g as (select sum(x) as tx, sum(y) as ty from t), q as (select distinct x // 20 as a, y // 20 as b, cast(tx // 20000 as bigint) as c, cast(ty // 20000 as bigint) as d from t, g),
-h as (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as k from q),
-l as (select a, b, c, d, k, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) as lp from h),
-s as (select a, b, c, d, lp as seen from l where k = a)
---- select l.a, l.b, l.c, l.d, round(least(1, sum(exp(lp)) filter (lp <= seen + 1e-6)), 6) as p from l join s on l.a = s.a and l.b = s.b and l.c = s.c and l.d = s.d group by 1, 2, 3, 4"""))
-def fisher_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact tests of distinct shrunken tables of returned and other quantities: cells over 20, totals over 20,000, as its SQL has them; `feature_tests` has the tests of the counts."""
-    by = view(spark, sf_dir, "counts").groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("sample").isin(*s), F.col("n"))), F.lit(0)).alias(k) for k, s in (("x", ("AF", "RF")), ("y", ("NO", "NF")))])
-    total = by.agg(F.sum("x").alias("tx"), F.sum("y").alias("ty"))
-    whole = lambda c, n: F.floor(F.col(c) / n)
-    tables = by.crossJoin(F.broadcast(total)).select(whole("x", 20).alias("a"), whole("y", 20).alias("b"), whole("tx", 20000).alias("c"), whole("ty", 20000).alias("d")).distinct()
-    return tables.withColumn("p", F.round(fisher_2x2(*[F.col(c).cast("double") for c in "abcd"]), 6))
-
-
-@register("feature_tests")
+@register("feature_tests", oracle(["counts"], """t as (select feature, cast(coalesce(sum(n) filter (sample in ('AF', 'RF')), 0) as bigint) as a, cast(coalesce(sum(n) filter (sample in ('NO', 'NF')), 0) as bigint) as b from counts group by feature),
+g as (select cast(sum(a) as bigint) as c, cast(sum(b) as bigint) as d from t), q as (select distinct a, b, c, d from t, g), h as (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as k from q),
+l as (select a, b, k, sum(case when k > greatest(0, a - d) then ln((a + b - k + 1) * (a + c - k + 1) / (k * (d - a + k)::double)) else 0 end) over (partition by a, b order by k) as lp from h),
+m as (select a, b, max(lp) as top, max(lp) filter (k = a) as seen from l group by 1, 2),
+p as (select l.a, l.b, round(sum(exp(lp - top)) filter (lp <= seen + 1e-6) / sum(exp(lp - top)), 6) as p from l join m on l.a = m.a and l.b = m.b group by 1, 2)
+--- select feature, t.a, t.b, c, d, p from t join p on t.a = p.a and t.b = p.b, g"""))
 def feature_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact 2x2 test of every feature's returned and other quantities against all features' (G14, 2x2 only); no SQL, as the sums over whole tables are too long for it."""
+    """Exact 2x2 test of every feature's returned and other quantities against all features' (G14, 2x2 only)."""
     by = view(spark, sf_dir, "counts").groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("sample").isin(*s), F.col("n"))), F.lit(0)).alias(k) for k, s in (("a", ("AF", "RF")), ("b", ("NO", "NF")))])
     total = by.agg(F.sum("a").alias("c"), F.sum("b").alias("d"))
     tables = by.select("a", "b").distinct().crossJoin(F.broadcast(total))

@@ -64,6 +64,15 @@ def test_statistics(one):
     assert round(one(stats.proportion_at_least(F.lit(5.2), F.lit(6.0), 0.5)), 6) == 0.981518
     assert round(one(stats.proportion_at_least(F.lit(6.2), F.lit(7.0), 0.5)), 6) == 0.991025
     assert abs(one(stats.fisher_2x2(*map(F.lit, (5.0, 0.0, 0.0, 5.0)))) - 2 / 252) < 1e-9
+    # counts in the hundred thousands: against the sum of the whole support
+    for a, b, c, d in ((100_500, 100_000, 300_000, 300_000), (40, 90_000, 20, 100_000), (3, 0, 1_000_000, 500_000), (0, 0, 5, 7), (90_000, 10, 10, 90_000)):
+        terms, at = [], 0.0
+        for x in range(max(0, a - d), min(a + b, a + c) + 1):
+            terms.append((at, x))
+            at += math.log((a + b - x) * (a + c - x) / ((x + 1) * (d - a + x + 1))) if x < min(a + b, a + c) else 0
+        top, seen = max(terms)[0], dict((x, t) for t, x in terms)[a]
+        want = sum(math.exp(t - top) for t, _ in terms if t <= seen + 1e-6) / sum(math.exp(t - top) for t, _ in terms)
+        assert abs(one(stats.fisher_2x2(*[F.lit(float(v)) for v in (a, b, c, d)])) - want) < 1e-8
     assert [round(one(stats.glog2(F.lit(x), 5.0)), 6) for x in (0.0, 10.0)] == [2.321928, 3.593481]
 
 
