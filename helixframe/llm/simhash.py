@@ -23,7 +23,7 @@ in 95 of 100 pairs (a pair of similarity J differs in a share acos(2J / (1 + J))
 exact grid for so many bits would need binomially many cells a row; instead a cell is a choice of `k` one-bit segments
 and their counts, of `tables` random choices. k grows with the logarithm of the number n of fingerprints, so that a cell
 holds about 128 rows, and the number of tables is what a pair of similarity 0.8 needs to share a cell with probability
-1 - `missed`: about n ** 0.24 of them (14 at 5e4, 22 at 2e5, 130 at 1e9, 200 at 1e10). The bound by Manhattan distance is
+1 - `missed`: about n ** 0.24 of them (14 at 5e4, 20 at 2e5, 152 at 1e9, 295 at 1e10). The bound by Manhattan distance is
 the count of the first word's differences, and the exact 256 bits decide.
 
 Copies: only distinct fingerprints enter the search; documents join their class by fingerprint, after aggregation.
