@@ -166,7 +166,7 @@ def unique_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sample_normalizers", oracle(["aln"], depth_sql("sample, seqid") + """tt as (select sample, cast(sum(depth * ("end" - start)) as bigint) as total from runs group by sample), g as (select exp(avg(ln(total))) as m from tt where total > 0)
 --- select sample, total, round(m / total, 9) as multiplier from tt, g"""))
 def sample_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multipliers that bring samples to the geometric mean of their total depth."""
+    """Multipliers that bring samples to the geometric mean of their total depth."""
     return iv.depth_totals(iv.depth_runs(view(spark, sf_dir, "aln"), ["sample", "seqid"]), "sample").withColumn("multiplier", F.round("multiplier", 9))
 
 
@@ -218,13 +218,13 @@ def mapping_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 o as (select *, row_number() over (partition by qname, seqid, sample, strand order by s0, e0, score, rid) as k from aln)
 --- select a.qname, a.seqid, a.sample, a.s0 as first_s0, b.s0 as second_s0, least(a.s0, b.s0) as s0, greatest(a.e0, b.e0) as e0 from o a join o b on a.qname = b.qname and a.seqid = b.seqid and a.sample = b.sample and a.k = b.k where a.strand = 1 and b.strand = -1"""))
 def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward and reverse alignments of a fragment paired one to one in their order."""
+    """Forward and reverse alignments of a fragment paired one to one in their order; mates_by_fields has the pairing by mate fields."""
     return fr.pair_mates(view(spark, sf_dir, "aln"), ["qname", "seqid", "sample"])
 
 
 @register("uncovered_features", oracle(["aln", "feat"], """--- select fid, seqid from feat f where not exists (select 1 from aln a where a.strand = f.strand and a.e0 - a.s0 > 45 and a.seqid = f.seqid and f.s0 < f.e0 and f.s0 < a.e0 and f.e0 > a.s0)"""))
 def uncovered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features that no long alignment of their strand overlaps (J15, J16: anti-joins)."""
+    """Features that no long alignment of their strand overlaps, by an anti-join."""
     feat = view(spark, sf_dir, "feat")
     queries = view(spark, sf_dir, "aln").where("e0 - s0 > 45").select("seqid", "strand", F.col("s0").alias("qs"), F.col("e0").alias("qe")).distinct()
     met = iv.overlap_join(feat, queries, ["seqid", "strand"]).where("s0 < e0").select("fid").distinct()
