@@ -49,6 +49,12 @@ def aligned_blocks(start0: Column, cigar: Column) -> Column:
     return F.transform(blocks, lambda x: F.struct((start0 + x["ref"]).alias("start"), (start0 + x["ref"] + x["n"]).alias("end")))
 
 
+def read_position(cigar: Column, offset: Column) -> Column:
+    """Where in the read the reference's base `offset` after the alignment's start is; null in a deletion or skip and outside."""
+    holds = F.filter(placed(cigar), lambda x: x["op"].isin("M", "=", "X") & (x["ref"] <= offset) & (offset < x["ref"] + x["n"]))
+    return F.get(F.transform(holds, lambda x: x["read"] + offset - x["ref"]), F.lit(0))
+
+
 def score(tags: Column, mapq: Column) -> Column:
     """the AS tag, else the mapping quality. tags: array of TAG:TYPE:VALUE."""
     found = F.filter(tags, lambda x: x.startswith("AS:i:"))

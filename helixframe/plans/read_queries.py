@@ -153,18 +153,38 @@ def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.repeated_names(view(spark, sf_dir, "reads").select(F.col("role").alias("file"), F.col("conv_id").cast("string").alias("name")))
 
 
-@register("clipped_reads", oracle(["seqs"], """q as (select doc_id, seq, least(length(seq), 400) as n from seqs),
-k as (select doc_id, substr(seq, 6, greatest(cast(n - 10 as int), 0)) as s from q)
---- select doc_id, s as seq, case when length(s) < 24 then 'quality' when length(replace(s, substr(s, 1, 1), '')) = 0 then 'homopolymer' end as reason from k"""))
-def clipped_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of even quality trimmed to 400 bases, 5 off either end, too short or uniform ones marked; `clipped_whole_reads` clips all bases."""
-    seqs = view(spark, sf_dir, "seqs").withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-    return rd.clip(seqs, trim_to=400, trim_start=5, trim_end=5).select("doc_id", "seq", "reason")
+#: Quality is low at the third base of each GGGG; ends of the adaptor GATTACA are cut from either end.
+CLIPPED = """q as (select doc_id, seq, translate(replace(seq, 'GGGG', 'GG#G'), 'ACGT', 'IIII') as qual from seqs),
+w as (select doc_id, seq, string_split(substr(qual, 6, greatest(cast(length(qual) - 10 as int), 0)), '#') as parts from q),
+u as (select doc_id, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as i from w),
+o as (select doc_id, length(part) as n, coalesce(sum(length(part) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from u),
+z as (select * from o qualify row_number() over (partition by doc_id order by n desc, s) = 1),
+k as (select w.doc_id, length(seq) as length, s + 5 as s, n, substr(seq, cast(6 + s as int), cast(n as int)) as part from w join z on w.doc_id = z.doc_id),
+"""
+
 
+def _ends(text: str) -> str:
+    """SQL for the length of the longest start of text that is an end of the adaptor with one mismatch at most."""
+    return "case when length(part) < 24 then 0 " + " ".join(f"when hamming(substr({text}, 1, {n}), '{'GATTACA'[-n:]}') <= 1 then {n}" for n in range(7, 3, -1)) + " else 0 end"
 
-@register("clipped_whole_reads", oracle(["seqs"], """k as (select doc_id, substr(seq, 6, greatest(cast(length(seq) - 10 as int), 0)) as s from seqs)
---- select doc_id, s as seq, case when length(s) < 24 then 'quality' when length(replace(s, substr(s, 1, 1), '')) = 0 then 'homopolymer' end as reason from k"""))
-def clipped_whole_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole sequences of even quality, 5 off either end, too short or uniform ones marked."""
-    seqs = view(spark, sf_dir, "seqs").withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-    return rd.clip(seqs, trim_start=5, trim_end=5).select("doc_id", "seq", "reason")
+
+@register("clipped_reads", oracle(["seqs"], CLIPPED + f"""a as (select doc_id, n, part, substr(part, {_ends('part')} + 1) as cut from k),
+b as (select doc_id, n, case when length(cut) < 24 then cut else substr(cut, 1, length(cut) - ({_ends(COMP.format('cut'))})) end as s, length(cut) < 24 as short from a)
+--- select doc_id, s as seq, case when n < 24 then 'quality' when short or length(s) < 24 then 'adaptor' when length(replace(s, substr(s, 1, 1), '')) = 0 then 'homopolymer' end as reason from b"""))
+def clipped_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sequences of varied quality, 5 off either end, clipped to their best stretch and of adaptors; short or uniform ones marked."""
+    qual = F.translate(F.replace("seq", F.lit("GGGG"), F.lit("GG#G")), "ACGT", "IIII")
+    seqs = view(spark, sf_dir, "seqs").withColumn("qual", qual)
+    return rd.clip(seqs, adaptors=["GATTACA"], match=4, trim_start=5, trim_end=5).select("doc_id", "seq", "reason")
+
+
+@register("clip_summaries", oracle(["seqs"], CLIPPED + """l as (select lang, k.* from k join seqs on seqs.doc_id = k.doc_id)
+--- select lang, cast(count(*) as bigint) as reads, cast(count(*) filter (n > 0) as bigint) as kept, round(avg(length), 6) as mean_before, round(avg(n), 6) as mean_after, cast(count(*) filter (s > 0) as bigint) as clipped_start, cast(count(*) filter (s + n < length) as bigint) as clipped_end from l group by lang"""))
+def clip_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads and lengths by language before and after clipping by quality."""
+    from helixframe.operators.tracks import clip_summary
+
+    qual = F.translate(F.replace("seq", F.lit("GGGG"), F.lit("GG#G")), "ACGT", "IIII")
+    run = rd.good_run(F.col("seq"), qual, F.lit(43), 5, 5)
+    reads = view(spark, sf_dir, "seqs").select("lang", F.length("seq").alias("length"), run.alias("r"))
+    return clip_summary(reads.select("lang", "length", F.col("r.start").alias("clip_start"), (F.col("r.start") + F.col("r.length")).alias("clip_end")), ["lang"])

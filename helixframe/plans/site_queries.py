@@ -76,55 +76,43 @@ def implied_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.implied_absence(by.withColumn("n", F.when(F.col("is_insertion"), F.floor(F.col("n") / 4)).otherwise(F.col("n"))), [])
 
 
-ALIGNED = """g as (select rid, seqid, strand, s0, sample, score, qname, e0 - s0 as size, substr('ACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCA', cast(1 + rid % 4 as int), cast(e0 - s0 + 3 as int)) as seq from aln where e0 - s0 >= 8)"""
-
-
-#: The same with every alignment; those below 8 bases have no indels.
-ALL_ALIGNED = """g as (select rid, seqid, strand, s0, sample, score, qname, e0 - s0 as size, substr('ACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCAACGTTGCA', cast(1 + rid % 4 as int), cast(case when e0 - s0 >= 8 then e0 - s0 + 3 else e0 - s0 end as int)) as seq from aln)"""
-
-
-def all_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every alignment over a fixed text: 3M2I1D..M of 8 bases or more, plain M below."""
-    size = F.col("e0") - F.col("s0")
-    text = F.lit("ACGTTGCA" * 8)
-    cigar = F.when(size >= 8, F.concat(F.lit("3M2I1D"), (size - 4).cast("string"), F.lit("M"))).otherwise(F.concat(size.cast("string"), F.lit("M")))
-    return view(spark, sf_dir, "aln").withColumn("cigar", cigar).withColumn("seq", F.substring(text, (1 + F.col("rid") % 4).cast("int"), F.when(size >= 8, size + 3).otherwise(size).cast("int")))
+TEXT = "ACGTTGCA" * 8
+#: Every alignment over a fixed text; from 8 bases on four shapes of CIGAR take turns by rid, below it is plain M.
+ALIGNED = f"""g as (select rid, qname, seqid, strand, s0, e0 - s0 as size, case when e0 - s0 < 8 then 4 else rid % 4 end as kind, substr('{TEXT}', cast(1 + rid % 4 as int), cast(e0 - s0 + 3 as int)) as seq from aln)"""
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments of 8 bases or more, 3M2I1D..M over a fixed text."""
-    return all_aligned(spark, sf_dir).where(F.col("e0") - F.col("s0") >= 8)
-
-
-def placed_blocks(alns: DataFrame) -> DataFrame:
-    blocks = F.array_join(F.transform(sam.aligned_blocks(F.col("s0"), F.col("cigar")), lambda b: F.concat(b["start"].cast("string"), F.lit("-"), b["end"].cast("string"))), ",")
-    return alns.select("rid", "qname", "s0", sam.reference_length(F.col("cigar")).alias("reference_length"), blocks.alias("blocks"))
+    """Every alignment over a fixed text: an insertion and a deletion, clipped ends, = and X, a skip, or plain M below 8 bases."""
+    size = F.col("e0") - F.col("s0")
+    less = lambda n: (size - n).cast("string")
+    shapes = [F.concat(F.lit("3M2I1D"), less(4), F.lit("M")), F.concat(F.lit("2S"), less(0), F.lit("M3H")), F.concat(F.lit("3=1X"), less(4), F.lit("M")), F.concat(F.lit("4M2N"), less(6), F.lit("M"))]
+    cigar = F.when(size < 8, F.concat(less(0), F.lit("M"))).otherwise(F.get(F.array(*shapes), (F.col("rid") % 4).cast("int")))
+    return view(spark, sf_dir, "aln").withColumn("cigar", cigar).withColumn("seq", F.substring(F.lit(TEXT), (1 + F.col("rid") % 4).cast("int"), (size + 3).cast("int")))
 
 
-@register("pile_up", oracle(["aln"], ALIGNED + """, b as (select seqid, strand, s0 + i as pos, false as is_insertion, case when i < 3 then substr(seq, cast(i + 1 as int), 1) when i = 3 then '-' else substr(seq, cast(i + 2 as int), 1) end as item from (select *, unnest(range(0, size)) as i from g)
-union all select seqid, strand, s0 + 3, true, substr(seq, 4, 2) from g) --- select seqid, strand, pos, is_insertion, item, cast(count(*) as bigint) as n from b group by all"""))
+@register("pile_up", oracle(["aln"], ALIGNED + """, x as (select *, unnest(range(0, size)) as i from g),
+r as (select *, case kind when 0 then case when i < 3 then i when i > 3 then i + 1 end when 1 then i + 2 when 3 then case when i < 4 then i else i - 2 end else i end as r from x where kind <> 3 or i not in (4, 5)),
+b as (select seqid, strand, s0 + i as pos, false as is_insertion, case when r is null then '-' else substr(seq, cast(r + 1 as int), 1) end as item from r union all select seqid, strand, s0 + 3, true, substr(seq, 4, 2) from g where kind = 0)
+--- select seqid, strand, pos, is_insertion, item, cast(count(*) as bigint) as n from b group by all"""))
 def pile_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed items at each position and strand, of alignments of 8 bases or more as in its SQL; `pile_up_all` has all."""
+    """Observed items of every alignment at each position and strand."""
     return cs.pile_up(aligned(spark, sf_dir), ["seqid", "strand"])
 
 
-@register("aligned_blocks", oracle(["aln"], ALIGNED + """--- select rid, qname, s0, cast(size as int) as reference_length, s0 || '-' || (s0 + 3) || ',' || (s0 + 4) || '-' || (s0 + size) as blocks from g"""))
+@register("aligned_blocks", oracle(["aln"], ALIGNED + """--- select rid, qname, s0, cast(size as int) as reference_length,
+case kind when 0 then s0 || '-' || (s0 + 3) || ',' || (s0 + 4) || '-' || (s0 + size) when 2 then (s0 + 4) || '-' || (s0 + size) when 3 then s0 || '-' || (s0 + 4) || ',' || (s0 + 6) || '-' || (s0 + size) else s0 || '-' || (s0 + size) end as blocks from g"""))
 def aligned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference length and aligned blocks of alignments of 8 bases or more as in its SQL; `aligned_blocks_all` has all."""
-    return placed_blocks(aligned(spark, sf_dir))
-
-
-@register("pile_up_all", oracle(["aln"], ALL_ALIGNED + """, b as (select seqid, strand, s0 + i as pos, false as is_insertion, case when size < 8 or i < 3 then substr(seq, cast(i + 1 as int), 1) when i = 3 then '-' else substr(seq, cast(i + 2 as int), 1) end as item from (select *, unnest(range(0, size)) as i from g)
-union all select seqid, strand, s0 + 3, true, substr(seq, 4, 2) from g where size >= 8) --- select seqid, strand, pos, is_insertion, item, cast(count(*) as bigint) as n from b group by all"""))
-def pile_up_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed items of every alignment at each position and strand."""
-    return cs.pile_up(all_aligned(spark, sf_dir), ["seqid", "strand"])
+    """Reference length and aligned blocks of every alignment."""
+    blocks = F.array_join(F.transform(sam.aligned_blocks(F.col("s0"), F.col("cigar")), lambda b: F.concat(b["start"].cast("string"), F.lit("-"), b["end"].cast("string"))), ",")
+    return aligned(spark, sf_dir).select("rid", "qname", "s0", sam.reference_length(F.col("cigar")).alias("reference_length"), blocks.alias("blocks"))
 
 
-@register("aligned_blocks_all", oracle(["aln"], ALL_ALIGNED + """--- select rid, qname, s0, cast(size as int) as reference_length, case when size >= 8 then s0 || '-' || (s0 + 3) || ',' || (s0 + 4) || '-' || (s0 + size) else s0 || '-' || (s0 + size) end as blocks from g"""))
-def aligned_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference length and aligned blocks of every alignment."""
-    return placed_blocks(all_aligned(spark, sf_dir))
+@register("projected_positions", oracle(["aln"], ALIGNED + """, x as (select *, rid % (size + 1) as i from g)
+--- select rid, cast(case when i = size then null when kind = 0 then case when i < 3 then i when i > 3 then i + 1 end when kind = 1 then i + 2 when kind = 3 then case when i < 4 then i when i > 5 then i - 2 end else i end as int) as at from x"""))
+def projected_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place of the reference in each alignment as a place of its read; null where no base of the read stands there."""
+    offset = F.col("rid") % (F.col("e0") - F.col("s0") + 1)
+    return aligned(spark, sf_dir).select("rid", sam.read_position(F.col("cigar"), offset).cast("int").alias("at"))
 
 
 @register("genotype_calls", oracle(["gt"], """tp as (select *, [ro, ao1, ao2] as c, round(greatest(ro, ao1, ao2) + 0.2::double, 6) as x, round(ro + ao1 + ao2 + 1.0::double, 6) as m from gt),""" + TAIL.format(src="tp") + """
