@@ -40,7 +40,7 @@ def decode(text: Column) -> Column:
 
 def attributes(text: Column) -> Column:
     """GFF3 attributes as a map; values are split at the first =, values of repeated keys joined by commas."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: (x != "") & (x != "."))
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "."))
     pairs = F.transform(parts, lambda x: F.struct(decode(F.trim(F.substring_index(x, "=", 1))).alias("k"), decode(F.when(F.instr(x, "=") > 0, F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)).otherwise("")).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), ","))))

@@ -91,8 +91,8 @@ def canonical_kmers(seq: Column, k: int) -> Column:
 
 
 def kmers_to_sequence(items: Column) -> Column:
-    """the sequence of k-mers that overlap by all but one base."""
-    return F.concat(F.element_at(items, 1), F.array_join(F.transform(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda x: F.right(x, F.lit(1))), ""))
+    """the sequence of k-mers that overlap by all but one base; null for none."""
+    return F.concat(F.get(items, F.lit(0)), F.array_join(F.transform(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda x: F.right(x, F.lit(1))), ""))
 
 
 def successors(kmer: Column) -> Column:

@@ -169,7 +169,7 @@ def selected_names(seqs: DataFrame, only: list[str]) -> DataFrame:
     return seqs.where(F.col("name").isin(*only)) if only else seqs
 
 
-def styled(features: DataFrame, typ: str, color: str | None = None) -> DataFrame:
+def styled(features: DataFrame, typ: str | Column, color: str | None = None) -> DataFrame:
     """Features with attributes `attr` and type `typ`: a colour and an ID where they have none."""
     extra = {"ID": ann.feature_id(F.col("attr"), F.col("typ"), F.col("seqid").cast("string"), F.col("s0"), F.col("e0"), F.col("strand"))} | ({"color": F.lit(color)} if color else {})
     out = features.where(F.col("typ") == typ)
