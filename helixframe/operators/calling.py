@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import might_be_same_base
+from helixframe.functions.stats import proportion_at_least
 from helixframe.operators import consensus as cs
 
 #: Order of evidence that no alignment gave.
@@ -152,3 +153,13 @@ def nexus_head(samples: list, characters: int) -> str:
     """What stands before the matrix."""
     names = "\n".join(str(s) for s in samples)
     return f'#NEXUS\nbegin taxa;\ndimensions ntax={len(samples)};\ntaxlabels\n{names}\n;\nend;\nbegin characters;\ndimensions nchar={characters};\nformat datatype=STANDARD symbols="ACGT-0123456789" missing=N;\nmatrix\n'
+
+
+def depth_advice(spark: SparkSession, cutoff: float = 0.99, indel_prior: float = 0.2, weight: float = 1.0, majority: float = 0.5, most: int = 10_000) -> DataFrame:
+    """(kind, errors, depth): the least depth at which a base with so many errors, a deletion or an insertion is called; no row if `most` is not enough."""
+    base, indel = (weight - indel_prior * weight) / 4, indel_prior * weight
+    cases = [*[("base", e, base) for e in range(4)], ("deletion", 0, indel), ("insertion", 0, indel)]
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(e).alias("errors"), F.lit(p).alias("prior")) for k, e, p in cases])).alias("c")
+    tried = spark.range(1, most + 1).select(F.col("id").alias("depth"), kinds).where("depth >= c.errors").select("depth", "c.*")
+    p = proportion_at_least(F.round(F.col("depth") - F.col("errors") + F.col("prior"), 6), F.round(F.col("depth") + F.lit(weight), 6), majority)
+    return tried.where(p >= cutoff).groupBy("kind", "errors").agg(F.min("depth").alias("depth"))

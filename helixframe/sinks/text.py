@@ -44,6 +44,14 @@ def plot_values(runs: DataFrame, length: int, value: str = "depth") -> DataFrame
     return spark.range(length).withColumnRenamed("id", "pos").join(each, "pos", "left").select("pos", F.coalesce("value", F.lit(0)).alias("value"))
 
 
+def plot_values_of(runs: DataFrame, lengths: DataFrame, keys: list[str], value: str = "depth", block: int = 1 << 16) -> DataFrame:
+    """K7: (keys, pos, value) of every base of all sequences of `lengths` (keys, length), 0 where no run is; bases are made in blocks."""
+    blocks = lengths.where("length > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / block))))
+    every = blocks.select(*keys, F.explode(F.sequence(F.col("_b") * block, F.least(F.col("length"), (F.col("_b") + 1) * block) - 1)).alias("pos"))
+    each = runs.select(*keys, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), F.col(value).alias("value"))
+    return every.join(each, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("value", F.lit(0)).alias("value"))
+
+
 def write_plot(runs: DataFrame, length: int, path: str, value: str = "depth") -> None:
     """K7: one number a line for each base."""
     write(plot_values(runs, length, value), F.col("value").cast("string"), path, order=["pos"])
@@ -54,6 +62,18 @@ def igv_rows(tracks: DataFrame, names: list[str]) -> Column:
     return F.concat_ws("\t", F.col("seqid").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("D"), *[F.col(n).cast("string") for n in names])
 
 
+def plot_rows(tracks: DataFrame, names: list[str]) -> DataFrame:
+    """(plot, seqid, pos, value) of each base and column of tracks (seqid, start, end, names), whose rows may be runs of any width."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("plot"), F.col(n).alias("value")) for n in names])).alias("x")
+    return tracks.select("seqid", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), *names).select(each, "seqid", "pos").select("x.plot", "seqid", "pos", "x.value")
+
+
+def write_plots(tracks: DataFrame, names: list[str], path: str) -> None:
+    """A folder for each column and sequence with lines `pos value` from 1, in order."""
+    rows = plot_rows(tracks, names).repartitionByRange("plot", "seqid", "pos").sortWithinPartitions("plot", "seqid", "pos")
+    rows.select("plot", "seqid", F.concat_ws(" ", (F.col("pos") + 1).cast("string"), F.col("value").cast("string")).alias("value")).write.mode("overwrite").partitionBy("plot", "seqid").text(path)
+
+
 def vcf_line() -> Column:
     """A VCF line without samples from chrom, pos, id, ref, alt, qual, filter, info."""
     info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda x: F.concat(x["key"], F.when(x["value"] == "", "").otherwise(F.concat(F.lit("="), x["value"])))), ";")
