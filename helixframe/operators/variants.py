@@ -40,7 +40,7 @@ def nway_records(records: DataFrame, samples: list[str], required: list[str] = (
 
 
 def nway_table(kept: DataFrame, samples: list[str], effect_show: str = "all") -> DataFrame:
-    """A row a record with each sample's genotype, quality and counts as texts, and the effects to be shown."""
+    """G16 (the table; VCF is not written): a row a record with each sample's genotype, quality and counts as texts, and the effects to be shown."""
     at = lambda column, i: F.get(column, F.lit(i))
     columns = []
     for i, s in enumerate(samples):
@@ -97,7 +97,7 @@ def patched(seqs: DataFrame, records: DataFrame, samples: list[str]) -> DataFram
 
 
 def best_cover(alns: DataFrame, keys: list[str], identity: str) -> DataFrame:
-    """(keys, first, n, identity): stretches of bases whose best alignment (s0, e0, score) is the same one, the least identity of ties.
+    """(keys, first, n, identity): stretches of bases whose best alignment (s0, e0, score) is the same one, the least identity of ties; what it leaves over of an alignment is not given.
 
     Bases are merged before the shuffle; no window spans a sequence.
     """

@@ -71,7 +71,7 @@ def patched_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("best_cover", oracle(["aln"], """p as (select seqid, score, rid, unnest(range(s0, e0)) as pos from aln where e0 > s0), b as (select seqid, pos, rid from p qualify row_number() over (partition by seqid, pos order by score desc, rid) = 1)
 --- select seqid, min(pos) as first, cast(count(*) as bigint) as n, rid from (select *, pos - row_number() over (partition by seqid, rid order by pos) as g from b) group by seqid, rid, g"""))
 def best_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which alignment is the best at each base, in stretches."""
+    """Which alignment is the best at each base, in stretches; no leftovers."""
     return op.best_cover(view(spark, sf_dir, "aln"), ["seqid"], "rid").select("seqid", "first", "n", "rid")
 
 
