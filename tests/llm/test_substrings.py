@@ -82,6 +82,22 @@ def test_chunks_of_long_texts(spark, monkeypatch):
     assert got == {1: 2000, 2: 2000}
 
 
+def test_rows_of_short_periods(spark):
+    """A text of a short period gives two rows, not one a period, so that such texts fill no group."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(450)
+    given = [(k, "of the " * (400 + k)) for k in range(20)] + [(30, "of the " * 400), (31, "and " * 99), (32, "and " * 101), (33, None)]
+    given += [(40, passage + noise(500) + passage + noise(300) + passage), (41, noise(20) + passage), (42, noise(200) + "of the " * 90 + noise(700) + "of the " * 60 + noise(9)), (43, noise(3000))]
+    assert rows(substrings.cut(documents(spark, given))) == brute(given, 400)
+    hot = substrings.covered(documents(spark, given), hot=1).collect()
+    plain = substrings.covered(documents(spark, given)).collect()
+    key = lambda found: sorted((r.key, r.n, tuple(substrings.united([(s.s, s.e) for s in r.spans]))) for r in found)
+    assert key(hot) == key(plain)
+    found = substrings.anchor_table(documents(spark, given[:20]), 400, 64).groupBy("key").count().collect()
+    assert len(found) == 20 and max(r["count"] for r in found) <= 4
+
+
 def test_edges(spark, tmp_path):
     given = [(i, t if t is None or len(t) < 30_000 else t[:30_000]) for i, t in edge_texts()]
     sf = sf_folder(spark, tmp_path, documents=with_clash(documents(spark, given)))
