@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from helixframe.llm import substrings
 from helixframe.llm.common import table
@@ -98,6 +99,46 @@ def test_rows_of_short_periods(spark):
     assert len(found) == 20 and max(r["count"] for r in found) <= 4
 
 
+def test_rows_of_frequent_kinds_stay_apart(spark, monkeypatch):
+    """The rows of a frequent kind are not dealt to one task; every repeated row is found, none else."""
+    given = [(1, 1, k) for k in range(3000)] + [(2, k, k) for k in range(500)] + [(3 + k % 900, 5, k) for k in range(2700)] + [(5000 + k, 5, k) for k in range(40)]
+    rows = spark.createDataFrame(given, "anchor bigint, around bigint, key bigint").repartition(8, "key")
+    kinds = rows.groupBy("anchor", "around").agg(F.count("*").alias("times"))
+    times = Counter(g[:2] for g in given)
+    for most in (1000, 10, 1):
+        monkeypatch.setattr(substrings, "FREQUENT", most)
+        found = substrings.repeated(rows, kinds).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r[:3] for r in found) == sorted(g for g in given if times[g[:2]] > 1)
+        if most > 1:
+            assert max(Counter(r["task"] for r in found if r["anchor"] == 1).values()) < 1000
+    assert substrings.repeated(rows.limit(0), kinds.limit(0)).count() == 0
+
+
+def test_copies_of_frequent_texts_stay_apart(spark, monkeypatch):
+    """Copies of one text and empty texts are not dealt to one task, and lose what they lose otherwise."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text = noise(1500)
+    given = [(k, text) for k in range(300)] + [(1000 + k, "") for k in range(300)] + [(2000, text[:900] + noise(400)), (2001, noise(30) + text[700:]), (2002, noise(900)), (2003, text[:399]), (2004, None)]
+    given += [(3000 + k // 2, t) for k, t in enumerate(t for t in (noise(420), noise(500)) for _ in range(2))]
+    docs = documents(spark, given).repartition(8)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for most in (1000, 2, 1):
+        monkeypatch.setattr(substrings, "FREQUENT", most, raising=False)
+        before = {k: spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            found = substrings.cut(docs).withColumn("task", F.spark_partition_id()).collect()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert sorted((tuple(r)[:5] for r in found), key=str) == brute(given, 400)
+        if most > 2:
+            for low in (0, 1000):
+                assert max(Counter(r["task"] for r in found if low <= r["doc_id"] < low + 1000).values()) < 200
+
+
 def test_edges(spark, tmp_path):
     given = [(i, t if t is None or len(t) < 30_000 else t[:30_000]) for i, t in edge_texts()]
     sf = sf_folder(spark, tmp_path, documents=with_clash(documents(spark, given)))
