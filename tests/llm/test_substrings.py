@@ -114,6 +114,19 @@ def test_rows_of_frequent_kinds_stay_apart(spark, monkeypatch):
     assert substrings.repeated(rows.limit(0), kinds.limit(0)).count() == 0
 
 
+def test_kinds_of_one_anchor_stay_apart(spark, monkeypatch):
+    """The many kinds of one anchor are not dealt to one task for their number."""
+    given = [(1, k) for k in range(3000)] + [(2 + k, 0) for k in range(500)] + [(1000 + k // 3, k) for k in range(2700)]
+    kinds = spark.createDataFrame(given, "anchor bigint, around bigint").repartition(8, "around")
+    times = Counter(g[0] for g in given)
+    for most in (1000, 10, 1):
+        monkeypatch.setattr(substrings, "FREQUENT", most)
+        found = substrings.of_several(kinds).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r["anchor"], r["around"], r["kinds"]) for r in found) == sorted((a, b, times[a]) for a, b in given if times[a] > 1)
+        if most > 1:
+            assert max(Counter(r["task"] for r in found if r["anchor"] == 1).values()) < 1000
+
+
 def test_copies_of_frequent_texts_stay_apart(spark, monkeypatch):
     """Copies of one text and empty texts are not dealt to one task, and lose what they lose otherwise."""
     rng = random.Random(12)
