@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq as sq
+from helixframe.operators import kmers as km
 from helixframe.operators.ordered import with_running
 
 #: Record filters by name, each from its argument; all keep the record's columns (file, ord, name, seq, qual).
@@ -111,8 +112,12 @@ def pair_reads(df: DataFrame) -> DataFrame:
 
 def count_kmers(seqs: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Canonical k-mers of upper-cased sequences with their counts, summed before the shuffle."""
-    each = seqs.select(*(keys or []), F.explode(sq.canonical_kmers(F.upper("seq"), k)).alias("kmer"))
-    return each.groupBy(*(keys or []), "kmer").agg(F.count("*").alias("n"))
+    keys = keys or []
+    if k <= km.WIDEST:
+        each = km.tally(seqs.select(*keys, F.upper("seq").alias("seq")), k, keys)
+    else:
+        each = seqs.select(*keys, F.explode(sq.canonical_kmers(F.upper("seq"), k)).alias("kmer")).withColumn("n", F.lit(1).cast("bigint"))
+    return each.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
 def postings(seqs: DataFrame, k: int) -> DataFrame:

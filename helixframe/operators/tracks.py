@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import ann
 from helixframe.functions import seq as sq
+from helixframe.operators import kmers as km
 from helixframe.operators.intervals import deltas, runs_of
 from helixframe.operators.ordered import with_running
 
@@ -126,7 +128,25 @@ def reduced(log: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def clean_runs(seqs: DataFrame, good: DataFrame, k: int) -> DataFrame:
-    """Each sequence cut to its longest run of positions whose k-mer is in `good`, the first of equal ones; empty if there is none."""
+    """Each sequence cut to its longest run of positions whose k-mer is in `good`, the first of equal ones; empty if there is none.
+
+    Up to 11 bases `good` is a table that every task holds, and each sequence is cut where it is.
+    """
+    if k <= km.DENSE:
+        held = seqs.sparkSession.sparkContext.broadcast(km.table_of(good.select("kmer", F.lit(1).alias("n")), k) > 0)
+
+        def run(batches):
+            for batch in batches:
+                data, bounds = km.text_bytes(batch.column("seq"))
+                mask = np.zeros(bounds[-1] - bounds[0], bool)
+                for _, at, found in km.windows(data, bounds, k, km.EITHER):
+                    mask[at - bounds[0]] = held.value[found]
+                start, size = km.longest_runs(mask, bounds - bounds[0])
+                low = bounds[:-1] + start
+                cut = [data[a:b].tobytes().decode() if b > a else "" for a, b in zip(low, low + np.where(size > 0, size + k - 1, 0), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(cut, pa.string())], names=["name", "seq"])
+
+        return seqs.select("name", "seq").mapInArrow(run, seqs.select("name", "seq").schema)
     # slices of bytes; either strand is made once a sequence
     whole, n = F.upper("seq"), F.octet_length("seq")
     both = F.struct(whole.cast("binary").alias("f"), sq.reverse_complement(whole).cast("binary").alias("r"))
