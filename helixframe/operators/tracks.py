@@ -170,12 +170,81 @@ def bound(value: Column, body) -> Column:
 
 
 def kmer_bias(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, n, mean) of depth over the centres of circular k-mers, either strand's pooled; seqs: (seq, depths)."""
-    n = F.length("seq")
-    wrapped = F.concat("seq", F.substring("seq", 1, k - 1))
-    rows = seqs.where(n >= k).select("depths", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(wrapped, i, F.lit(k)))).alias("i", "raw"), n.alias("n"))
-    pooled = rows.select(sq.canonical(F.col("raw")).alias("kmer"), F.get("depths", F.pmod(F.col("i") + k // 2, F.col("n"))).alias("d"))
-    return pooled.groupBy("kmer").agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+    """(kmer, n, mean) of depth over the centres of circular k-mers, either strand's pooled; seqs: (seq, depths).
+
+    Sequences of A, C, G and T are read a piece at a time, others a window at a time; sums are made before the shuffle.
+    """
+    turn = str.maketrans(sq.COMPLEMENT_FROM, sq.COMPLEMENT_TO)
+    names = ["kmer", "n", "sum", "known"]
+
+    def plain(data, bounds, low, starts, ends, values, known):
+        """(number, value, whether there is one) of every window of rows of bases alone, from row `low` on."""
+        size = np.diff(bounds)
+        wide = np.concatenate([[0], np.cumsum(size + k - 1)])
+        row = np.repeat(np.arange(len(size)), size + k - 1)
+        place = np.arange(wide[-1]) - wide[row]
+        for r, at, found in km.windows(data[bounds[row] + place % size[row]], wide, k):
+            at = starts[low + r] + (at - wide[r] + k // 2) % size[r]
+            there = at < ends[low + r]
+            there[there] = known[at[there]]
+            found = found.astype(np.int64)
+            yield found, np.where(there, values[np.where(there, at, 0)], 0.0) if len(values) else np.zeros(len(found)), there
+
+    def windows_of(text, own):
+        """The same of a row of any characters, as (text, value or None)."""
+        wrapped = text + text[: k - 1]
+        for i in range(len(text)):
+            kmer, at = wrapped[i : i + k], (i + k // 2) % len(text)
+            yield min(kmer, kmer[::-1].translate(turn)), own[at] if own is not None and at < len(own) else None
+
+    def out(numbers, columns):
+        return pa.RecordBatch.from_arrays([km.texts(numbers, k), *columns], names=names)
+
+    def run(batches):
+        held = [np.zeros(4**k, t) for t in (np.int64, np.float64, np.int64)] if k <= km.DENSE else None
+        odd = {}
+        for batch in batches:
+            data, bounds = km.text_bytes(batch.column("seq"))
+            lists = batch.column("depths")
+            inner = lists.values.cast(pa.float64())
+            known = inner.is_valid().to_numpy(zero_copy_only=False)
+            values = inner.fill_null(0.0).to_numpy(zero_copy_only=False)
+            places = lists.offsets.to_numpy().astype(np.int64)
+            starts, ends = places[:-1], np.where(lists.is_valid().to_numpy(zero_copy_only=False), places[1:], places[:-1])
+            strange = np.concatenate([[0], np.cumsum(km.CAPITALS[data[bounds[0] : bounds[-1]]] > 3)])
+            other = np.diff(strange[bounds - bounds[0]]) > 0 if k <= km.WIDEST else np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(other):
+                for kmer, value in windows_of(batch.column("seq")[i].as_py(), lists[i].as_py()):
+                    cell = odd.setdefault(kmer, [0, 0.0, 0])
+                    cell[0] += 1
+                    if value is not None:
+                        cell[1] += float(value)
+                        cell[2] += 1
+                if len(odd) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), *map(pa.array, zip(*odd.values(), strict=True))], names=names)
+                    odd = {}
+            rows = np.flatnonzero(~other)
+            if not len(rows):
+                continue
+            if len(rows) < batch.num_rows:
+                data, bounds = km.text_bytes(batch.column("seq").take(pa.array(rows)))
+                starts, ends = starts[rows], ends[rows]
+            for low, high in km.pieces(bounds):
+                for found, value, there in plain(data, bounds[low : high + 1], low, starts, ends, values, known):
+                    if held is not None:
+                        for whole, part in zip(held, (np.bincount(found, minlength=4**k), np.bincount(found, value, 4**k), np.bincount(found[there], minlength=4**k)), strict=True):
+                            whole += part
+                        continue
+                    kinds, at = np.unique(found, return_inverse=True)
+                    yield out(kinds, [pa.array(np.bincount(at)), pa.array(np.bincount(at, value)), pa.array(np.bincount(at, there).astype(np.int64))])
+        if held is not None:
+            there = np.flatnonzero(held[0])
+            yield out(there, [pa.array(x[there]) for x in held])
+        if odd:
+            yield pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), *map(pa.array, zip(*odd.values(), strict=True))], names=names)
+
+    pooled = seqs.where(F.length("seq") >= k).select("seq", "depths").mapInArrow(run, "kmer string, n bigint, sum double, known bigint")
+    return pooled.groupBy("kmer").agg(F.sum("n").alias("n"), (F.sum("sum") / F.nullif(F.sum("known"), F.lit(0))).alias("mean"))
 
 
 def numbered_names(features: DataFrame, name: str, order: list[str]) -> DataFrame:
