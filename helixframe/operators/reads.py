@@ -121,8 +121,15 @@ def count_kmers(seqs: DataFrame, k: int, keys: list[str] | None = None) -> DataF
 
 
 def postings(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, read, n) of every k-mer and read: rows rather than one list a k-mer, which would have no bound."""
-    return count_kmers(seqs, k, ["name"])
+    """(kmer, read, n) of every k-mer and read: rows rather than one list a k-mer, which would have no bound.
+
+    A read whose name is its own is counted where it is; only the counts of other reads are shuffled.
+    """
+    if k > km.WIDEST:
+        return count_kmers(seqs, k, ["name"])
+    whole = km.marked(seqs.select("name", F.upper("seq").alias("seq")))
+    more = km.tally(whole.where("_many"), k, ["name"]).groupBy("name", "kmer").agg(F.sum("n").alias("n"))
+    return km.tally(whole.where("not _many"), k, ["name"]).unionByName(more)
 
 
 def multiplicities(counts: DataFrame) -> DataFrame:
