@@ -170,7 +170,15 @@ def link_list(counts: DataFrame) -> DataFrame:
 
 
 def kmer_depth(seqs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """By sequence, the share of k-mers that are in the bag and mean, median, least and most of their counts."""
+    """By sequence, the share of k-mers that are in the bag and mean, median, least and most of their counts.
+
+    Up to 11 bases the bag is a table that every task holds, and a sequence gives one row.
+    """
+    if k <= km.DENSE:
+        each = km.depths(km.marked(seqs.select("name", F.upper("seq").alias("seq"))), km.table_of(counts, k), k)
+        share = F.sum("hits") / F.sum("total")
+        median = F.coalesce(F.first("median", True), F.percentile("n", F.lit(0.5), F.coalesce("times", F.lit(0))))
+        return each.groupBy("name").agg(F.round(100 * share, 6).alias("present"), F.round(F.sum("sum") / F.sum("total"), 6).alias("mean"), median.alias("median"), F.min("least").alias("least"), F.max("most").alias("most"))
     each = seqs.select("name", F.explode(sq.canonical_kmers(F.upper("seq"), k)).alias("kmer"))
     found = each.join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return found.groupBy("name").agg(F.round(100 * F.avg((F.col("n") > 0).cast("int")), 6).alias("present"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"))
