@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe import selection
 from helixframe.functions import variants as vr
-from helixframe.operators.intervals import run_length
+from helixframe.operators import kmers as km
 
 REFERENCE = "reference"
 
@@ -96,14 +99,55 @@ def patched(seqs: DataFrame, records: DataFrame, samples: list[str]) -> DataFram
     return both.select("name", "sample", F.when(F.col("b").isNull() & (F.size("v") > 0), missing).otherwise(whole).alias("seq"))
 
 
-def best_cover(alns: DataFrame, keys: list[str], identity: str) -> DataFrame:
+def best_cover(alns: DataFrame, keys: list[str], identity: str, block: int = 1 << 14) -> DataFrame:
     """(keys, first, n, identity): stretches of bases whose best alignment (s0, e0, score) is the same one, the least identity of ties; what it leaves over of an alignment is not given.
 
-    Bases are merged before the shuffle; no window spans a sequence.
+    Alignments are dealt to blocks of the coordinate and painted there from the worst to the best as Spark sorts them, so
+    that no row is made of each base; stretches of one identity that meet, at the end of a block or else, are joined.
     """
-    points = alns.where("e0 > s0").select(*keys, "score", identity, F.explode(F.sequence("s0", F.col("e0") - 1)).alias("pos"))
-    best = points.groupBy(*keys, "pos").agg(F.min(F.struct((-F.col("score")).alias("m"), F.col(identity))).alias("x"))
-    return run_length(best.select(*keys, "pos", F.col(f"x.{identity}")), keys, "pos", identity)
+    own = alns.where("e0 > s0").select(*keys, "score", identity, "s0", "e0")
+    dealt = own.withColumn("_block", F.explode(F.sequence(F.floor(F.col("s0") / block), F.floor((F.col("e0") - 1) / block))))
+    ordered = dealt.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", F.asc_nulls_first("score"), F.desc(identity))
+    types = [alns.schema[c] for c in (*keys, identity)]
+    schema = T.StructType([*types[:-1], T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), types[-1]])
+
+    def run(batches):
+        last, owner, names = None, np.full(block, -1, np.int32), []
+        key_types = {}
+
+        def stretches():
+            cuts = np.flatnonzero(np.diff(owner, prepend=-2))
+            ends = np.append(cuts[1:], block)
+            there = owner[cuts] >= 0
+            cuts, ends, base = cuts[there], ends[there], last[-1] * block
+            held = [pa.array([v] * len(cuts), key_types[c]) for c, v in zip(keys, last[:-1], strict=True)]
+            return pa.RecordBatch.from_arrays([*held, pa.array(cuts + base), pa.array(ends + base), pa.concat_arrays(names).take(pa.array(owner[cuts]))], names=schema.names)
+
+        for batch in batches:
+            group, _ = km.groups_of(batch, [*keys, "_block"])
+            base = batch.column("_block").to_numpy() * block
+            low = np.maximum(batch.column("s0").to_numpy() - base, 0).tolist()
+            high = np.minimum(batch.column("e0").to_numpy() - base, block).tolist()
+            key_types = {c: batch.column(c).type for c in keys}
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                key = tuple(batch.column(c)[start].as_py() for c in (*keys, "_block"))
+                if key != last:
+                    if last is not None:
+                        yield stretches()
+                    last, names = key, []
+                    owner[:] = -1
+                number = sum(map(len, names))
+                names.append(batch.column(identity).slice(start, stop - start))
+                for i, (a, b) in enumerate(zip(low[start:stop], high[start:stop], strict=True), number):
+                    owner[a:b] = i
+        if last is not None:
+            yield stretches()
+
+    one = Window.partitionBy(*keys, identity).orderBy("first")
+    found = ordered.mapInArrow(run, schema).withColumn("_opens", F.when(F.lag("end").over(one) == F.col("first"), 0).otherwise(1))
+    whole = found.withColumn("_run", F.sum("_opens").over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    return whole.groupBy(*keys, identity, "_run").agg(F.min("first").alias("first"), F.sum(F.col("end") - F.col("first")).alias("n")).select(*keys, "first", "n", identity)
 
 
 def by_place(parts: list[DataFrame], keys: list[str]) -> DataFrame:
