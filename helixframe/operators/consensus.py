@@ -2,31 +2,153 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions import sam
 from helixframe.functions.seq import ambiguity_code
 from helixframe.functions.stats import incomplete_beta
+from helixframe.operators import kmers as km
 from helixframe.operators.ordered import with_neighbour
 
 #: Calls that stand for no single base.
 AMBIGUOUS = ["N", "R", "Y", "S", "W", "K", "M", "B", "D", "H", "V"]
 
 
-def pile_up(alns: DataFrame, keys: list[str], trim: int = 0) -> DataFrame:
+def pile_up(alns: DataFrame, keys: list[str], trim: int = 0, block: int = 1 << 14) -> DataFrame:
     """A2: counts of observed items (keys, pos, is_insertion, item, n) from alignments (s0, cigar, seq).
 
     M, = and X give bases, D gives `-`, I the inserted string before a position; S and H are passed over. `trim` leaves
-    out items so near either end of an alignment.
+    out items so near either end of an alignment. Alignments are dealt to blocks of the coordinate and counted there, the
+    alignments of one CIGAR together, so that no row is made of each base.
     """
-    ops = alns.select(*keys, "s0", "seq", sam.reference_length(F.col("cigar")).alias("_n"), F.explode(sam.placed(F.col("cigar"))).alias("_op"))
-    one = ops.where(F.col("_op.op") == "I").select(*keys, (F.col("s0") + F.col("_op.ref")).alias("pos"), F.lit(True).alias("is_insertion"), F.substring("seq", F.col("_op.read") + 1, F.col("_op.n")).alias("item"), (F.col("_op.ref") > trim) & (F.col("_op.ref") <= F.col("_n") - trim).alias("_in"))
-    wide = ops.where(F.col("_op.op").isin("M", "=", "X", "D")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_op.n") - 1)))
-    at = F.col("_op.ref") + F.col("_i")
-    base = F.when(F.col("_op.op") == "D", "-").otherwise(F.substring("seq", F.col("_op.read") + F.col("_i") + 1, F.lit(1)))
-    many = wide.select(*keys, (F.col("s0") + at).alias("pos"), F.lit(False).alias("is_insertion"), base.alias("item"), ((at >= trim) & (at < F.col("_n") - trim)).alias("_in"))
-    return one.toDF(*many.columns).unionByName(many).where("_in").groupBy(*keys, "pos", "is_insertion", "item").agg(F.count("*").alias("n"))
+    span = sam.reference_length(F.col("cigar"))
+    own = alns.select(*keys, "s0", "cigar", "seq", F.explode(F.sequence(F.floor(F.col("s0") / block), F.floor((F.col("s0") + span) / block))).alias("_block"))
+    schema = T.StructType([*(alns.schema[c] for c in keys), alns.select(F.col("s0") + F.lit(0)).schema[0], T.StructField("is_insertion", T.BooleanType()), T.StructField("item", T.StringType()), T.StructField("n", T.LongType())])
+    names = [*keys, "pos", "is_insertion", "item", "n"]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema, strict=True)])
+    known = {}
+
+    def placed(cigar):
+        """Operations (op, n, ref, read) and the length on the reference."""
+        if cigar not in known:
+            if len(known) > 100_000:
+                known.clear()
+            ref, read, ops = 0, 0, []
+            for n, op in re.findall("([0-9]+)([MIDNSHP=X])", cigar):
+                ops.append((op, int(n), ref, read))
+                ref += int(n) * (op in "MDNP=X")
+                read += int(n) * (op in "MIS=X")
+            known[cigar] = ops, ref
+        return known[cigar]
+
+    def out(types, key, base, codes, n, rest):
+        """The items of one block: codes are the place in the block and a byte, 0 for no item; rest has others."""
+        places, letters = codes >> 8, codes & 255
+        table = pa.array(["", *map(chr, range(1, 128))])
+        items = pa.concat_arrays([table.take(pa.array(letters)), pa.array([k[2] for k in rest], pa.string())])
+        where = np.concatenate([places + base, np.array([k[0] for k in rest], np.int64)])
+        inserted = pa.array([False] * len(codes) + [k[1] for k in rest], pa.bool_())
+        held = [pa.array([v] * len(where), t) for v, t in zip(key, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*held, pa.array(where, place_type), inserted, items, pa.array(np.concatenate([n, np.array(list(rest.values()), np.int64)]), pa.int64())], names=names)
+
+    place_type = {"bigint": pa.int64(), "int": pa.int32()}[schema["pos"].dataType.simpleString()]
+
+    def counted(batch, group):
+        """(group, code) of the bases of a batch, each piece of them, and the other items as a Counter of (group, pos, is_insertion, item)."""
+        data, bounds = km.text_bytes(batch.column("seq"))
+        start, low = batch.column("s0").to_numpy().astype(np.int64), batch.column("_block").to_numpy() * block
+        size = np.diff(bounds)
+        wide = np.concatenate([[0], np.cumsum((data[bounds[0] : bounds[-1]] > 127) | (data[bounds[0] : bounds[-1]] == 0))])
+        odd = (np.diff(wide[bounds - bounds[0]]) > 0) | batch.column("seq").is_null().to_numpy(zero_copy_only=False)
+        coded = batch.column("cigar").dictionary_encode()
+        kind = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(len(coded.dictionary) + 1))
+        rest, found = Counter(), []
+        for c, cigar in enumerate(coded.dictionary.to_pylist()):
+            ops, length = placed(cigar)
+            rows = order[cuts[c] : cuts[c + 1]]
+            plain = rows[~odd[rows]]
+            for op, n, ref, read in ops:
+                if op == "I" and trim < ref <= length - trim:
+                    for i in rows.tolist():
+                        if 0 <= start[i] + ref - low[i] < block:
+                            text = batch.column("seq")[i].as_py()
+                            rest[group[i], int(start[i] + ref), True, None if text is None else text[read : read + n]] += 1
+                if op not in "M=XD":
+                    continue
+                # the part of the operation within the trimmed ends, some rows and bases at a time
+                a, b = max(ref, trim) - ref, min(ref + n, length - trim) - ref
+                for x in range(a, b, 1 << 12):
+                    step = np.arange(x, min(b, x + (1 << 12)))
+                    for y in range(0, len(plain), max(1, (1 << 20) // len(step))):
+                        some = plain[y : y + max(1, (1 << 20) // len(step))]
+                        at = (start[some] + ref - low[some])[:, None] + step
+                        within = (at >= 0) & (at < block)
+                        if op == "D":
+                            letter = np.full(at.shape, ord("-"))
+                        else:
+                            there = (read + step)[None, :] < size[some][:, None]
+                            place = bounds[some][:, None] + read + step
+                            letter = np.where(there, data[np.where(there, place, 0)], 0) if len(data) else np.zeros(at.shape, np.int64)
+                        code = (group[some][:, None] * block + at) * 256 + letter
+                        found.append(np.unique(code[within], return_counts=True))
+                for i in rows[odd[rows]].tolist():
+                    text = batch.column("seq")[i].as_py()
+                    for j in range(a, b):
+                        if 0 <= start[i] + ref + j - low[i] < block:
+                            item = "-" if op == "D" else None if text is None else text[read + j : read + j + 1]
+                            if item is None or len(item) and not 0 < ord(item) < 128:
+                                rest[group[i], int(start[i] + ref + j), False, item] += 1
+                            else:
+                                code = (group[i] * block + start[i] + ref + j - low[i]) * 256 + (ord(item) if item else 0)
+                                found.append((np.array([code]), np.array([1])))
+        return found, rest
+
+    def merged(found):
+        """(codes, counts) with each code once."""
+        codes, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+    def run(batches):
+        last, found, rest, types = None, [], Counter(), []
+        for batch in batches:
+            group, first = km.groups_of(batch, [*keys, "_block"])
+            group = group.astype(np.int64)
+            # groups in the order they come
+            place = np.argsort(np.argsort(first))
+            group, first = place[group], np.sort(first)
+            types = [batch.column(c).type for c in keys]
+            parts, others = counted(batch, group)
+            codes, n = merged(parts)
+            cuts = np.searchsorted(codes, np.arange(len(first) + 1) * (block * 256))
+            own = [Counter() for _ in first]
+            for (g, *item), times in others.items():
+                own[g][tuple(item)] += times
+            for g, at in enumerate(first.tolist()):
+                key = tuple(batch.column(c)[at].as_py() for c in (*keys, "_block"))
+                if key != last:
+                    if last is not None:
+                        yield out(types, last[:-1], last[-1] * block, *merged(found), rest)
+                    last, found, rest = key, [], Counter()
+                found.append((codes[cuts[g] : cuts[g + 1]] - g * block * 256, n[cuts[g] : cuts[g + 1]]))
+                if len(found) > 1:
+                    found = [merged(found)]
+                rest.update(own[g])
+        if last is not None:
+            yield out(types, last[:-1], last[-1] * block, *merged(found), rest)
+
+    return own.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block").mapInArrow(run, schema)
 
 
 def evidence(observed: DataFrame, keys: list[str]) -> DataFrame:
