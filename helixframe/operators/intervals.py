@@ -38,9 +38,8 @@ def depth_runs(items: DataFrame, keys: list[str], block: int = BLOCK) -> DataFra
 
 def runs_of(changes: DataFrame, keys: list[str], values: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """Runs (keys, start, end, values) between changes (keys, pos, ...), the values being running sums."""
-    summed = with_running(changes, keys, "pos", values, block=block)
-    after = with_neighbour(summed, keys, "pos", {"end": F.col("pos")}, True, block=block)
-    return after.where("end is not null").select(*keys, F.col("pos").alias("start"), "end", *values)
+    summed = with_running(changes, keys, "pos", values, block=block, ahead="end")
+    return summed.where("end is not null").select(*keys, F.col("pos").alias("start"), "end", *values)
 
 
 def zip_tracks(items: DataFrame, keys: list[str], track: str, names: list[str], block: int = BLOCK) -> DataFrame:
@@ -55,11 +54,19 @@ def zip_tracks(items: DataFrame, keys: list[str], track: str, names: list[str],
 
 
 def crosstalk_runs(items: DataFrame, keys: list[str], crosstalk: float, block: int = BLOCK) -> DataFrame:
-    """Depth of each strand less a share of the other's, at least 0, as runs (keys, strand, start, end, depth)."""
-    signed = items.withColumn("_pair", F.explode(F.array(F.struct(F.col("strand").alias("strand"), F.lit(1.0).alias("w")), F.struct((-F.col("strand")).alias("strand"), F.lit(-crosstalk).alias("w")))))
-    moved = signed.select(*keys, "s0", "e0", F.col("_pair.strand").alias("strand"), F.col("_pair.w").alias("w"))
-    runs = runs_of(deltas(moved, [*keys, "strand"], F.col("w")), [*keys, "strand"], {"depth": F.col("delta")}, block)
-    return runs.withColumn("depth", F.when(F.round("depth", 9) > 0, F.round("depth", 9)).otherwise(0.0))
+    """Depth of each strand less a share of the other's, at least 0, as runs (keys, strand, start, end, depth).
+
+    Both strands are summed up side by side; the share is taken of whole depths.
+    """
+    sided = [*keys, "_side"]
+    steps = deltas(items.withColumn("_side", F.abs("strand")).withColumn("_back", F.col("strand") < 0), [*sided, "_back"])
+    of = lambda back: F.coalesce(F.sum(F.when(F.col("_back") == back, F.col("delta"))), F.lit(0))
+    both = runs_of(steps.groupBy(*sided, "pos").agg(of(False).alias("_f"), of(True).alias("_r")), sided, {"_f": F.col("_f"), "_r": F.col("_r")}, block)
+    less = lambda strand, own, other: F.struct(strand.alias("strand"), (own - crosstalk * other).alias("depth"))
+    f, r, side = F.col("_f"), F.col("_r"), F.col("_side")
+    runs = both.withColumn("_x", F.explode(F.when(side == 0, F.array(less(side, f, f))).otherwise(F.array(less(side, f, r), less(-side, r, f)))))
+    depth = F.round("_x.depth", 9)
+    return runs.select(*keys, F.col("_x.strand").alias("strand"), "start", "end", F.when(depth > 0, depth).otherwise(0.0).alias("depth"))
 
 
 def collapse(features: DataFrame, keys: list[str], overlap: int = 0, block: int = BLOCK) -> DataFrame:
