@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def characters(text: Column) -> Column:
 
 def quality_clip(df: DataFrame, quality: int, offset: int = 64) -> DataFrame:
     """The earliest longest stretch of the quality at least."""
-    run = sq.longest_run(F.transform(characters(F.col("qual")), lambda c: F.ascii(c) >= offset + quality))
+    run = good_run(F.col("qual"), F.col("qual"), F.lit(offset + quality), clip_ambiguous=False)
     marked = df.withColumn("_run", run)
     part = lambda c: F.substring(c, F.col("_run.start") + 1, F.col("_run.length"))
     return marked.withColumns({"seq": part("seq"), "qual": part("qual")}).drop("_run")
@@ -60,11 +62,42 @@ def repeated_names(df: DataFrame) -> DataFrame:
 
 def good_run(seq: Column, qual: Column, least: Column, trim_start: int = 0, trim_end: int = 0, clip_ambiguous: bool = True) -> Column:
     """Struct (start, length) of the first longest stretch of good quality over ACGT between the trimmed ends."""
-    n = F.length(qual) - trim_start - trim_end
-    part = lambda x: F.substring(x, F.lit(trim_start + 1), F.greatest(n, F.lit(0)))
-    good = F.zip_with(characters(part(qual)), characters(part(seq)), lambda q, b: (F.ascii(q) >= least) & (b.isin("A", "C", "G", "T") if clip_ambiguous else F.lit(True)))
-    run = sq.longest_run(good)
-    return F.struct((run["start"] + trim_start).alias("start"), run["length"].alias("length"))
+
+    def plain(q, b, least, bounds):
+        """The same of rows of bytes, of equal bounds."""
+        good = q >= np.repeat(least, np.diff(bounds))
+        if clip_ambiguous:
+            good &= km.CAPITALS[b] <= 3
+        for low, step, n in ((bounds[:-1], 1, trim_start), (bounds[1:] - 1, -1, trim_end)):
+            for j in range(min(n, int(np.diff(bounds).max(initial=0)))):
+                at = low + step * j
+                good[at[(at >= bounds[:-1]) & (at < bounds[1:])]] = False
+        start, size = km.longest_runs(good, bounds)
+        return np.where(size > 0, start, trim_start), size
+
+    def one(q, b, least):
+        marks = [ord(x) >= least and (not clip_ambiguous or (i < len(b) and b[i] in "ACGT")) and trim_start <= i < len(q) - trim_end for i, x in enumerate(q)]
+        return km.longest_runs(np.array(marks, bool), np.array([0, len(marks)]))
+
+    def run(seqs: pa.Array, quals: pa.Array, least: pa.Array) -> pa.Array:
+        starts, sizes = np.full(len(quals), trim_start), np.zeros(len(quals), np.int64)
+        (b, seq_bounds), (q, bounds) = km.text_bytes(seqs), km.text_bytes(quals)
+        least = least.to_numpy(zero_copy_only=False)
+        none = (seqs.is_null().to_numpy(zero_copy_only=False) & clip_ambiguous) | quals.is_null().to_numpy(zero_copy_only=False)
+        for low, high in km.pieces(bounds):
+            theirs, own = seq_bounds[low : high + 1], bounds[low : high + 1]
+            left, right = b[theirs[0] : theirs[-1]], q[own[0] : own[-1]]
+            if np.array_equal(theirs - theirs[0], own - own[0]) and right.max(initial=0) < 128 and left.max(initial=0) < 128:
+                starts[low:high], sizes[low:high] = plain(right, left, least[low:high], own - own[0])
+                continue
+            for i in range(low, high):
+                if not none[i]:
+                    start, size = one(quals[i].as_py(), seqs[i].as_py() or "", least[i])
+                    starts[i], sizes[i] = start[0] if size[0] else trim_start, size[0]
+        mask = pa.array(none)
+        return pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["start", "length"], mask=mask)
+
+    return F.arrow_udf(run, "start int, length int")(seq, qual, least)
 
 
 def adaptor_length(seq: Column, adaptors: list[str], max_errors: int = 1, least: int = 10) -> Column:

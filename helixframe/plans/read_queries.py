@@ -136,7 +136,7 @@ b as (select *, row_number() over (partition by conv_id, turn, role order by len
 @register("longest_good_runs", oracle(["reads"], RUNS + """--- select q.conv_id, q.turn, q.role, cast(coalesce(b.start, 0) as int) as start, cast(coalesce(b.length, 0) as int) as length from reads q left join b on q.conv_id = b.conv_id and q.turn = b.turn and q.role = b.role and b.k = 1"""))
 def longest_good_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First longest run of good quality characters of each read."""
-    run = sq.longest_run(F.transform(rd.characters(F.col("qual")), lambda c: F.ascii(c) >= 100))
+    run = rd.good_run(F.col("qual"), F.col("qual"), F.lit(100), clip_ambiguous=False)
     return view(spark, sf_dir, "reads").select("conv_id", "turn", "role", run.alias("r")).select("conv_id", "turn", "role", "r.start", "r.length")
 
 
