@@ -129,7 +129,7 @@ def clip(df: DataFrame, quality: int = 10, offset: int = 33, length: int = 24, m
         out = take(out, F.col("_n") if end == "start" else F.lit(0), F.length("seq") - F.col("_n")).drop("_n")
         out = out.withColumn("reason", F.coalesce("reason", F.when(short, "adaptor")))
     if not homopolymers:
-        out = out.withColumn("reason", F.coalesce("reason", F.when(F.size(F.array_distinct(characters(F.col("seq")))) <= 1, "homopolymer")))
+        out = out.withColumn("reason", F.coalesce("reason", F.when(F.length(F.replace("seq", F.substring("seq", 1, 1), F.lit(""))) == 0, "homopolymer")))
     if revcom:
         out = out.withColumns({"seq": sq.reverse_complement(F.col("seq")), "qual": F.reverse("qual")})
     return out
