@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions import ann
 from helixframe.functions import seq as sq
@@ -160,8 +161,33 @@ def clean_runs(seqs: DataFrame, good: DataFrame, k: int) -> DataFrame:
 
 def trailing_mean(seqs: DataFrame, counts: Column, k: int) -> DataFrame:
     """For each sequence (name, seq) the mean of the counts of the up to k k-mers that cover each base; counts is an array by k-mer position."""
-    sums = bound(counts, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) + k - 2), lambda i: bound(F.slice(c, F.greatest(F.lit(1), i - k + 2), F.least(i, F.size(c) - 1) - F.greatest(F.lit(0), i - k + 1) + 1), lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))))
-    return seqs.select("name", F.when(F.size(counts) > 0, sums).alias("means"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("counts")
+            bounds, there = lists.offsets.to_numpy().astype(np.int64), lists.is_valid().to_numpy(zero_copy_only=False)
+            low = bounds[0]
+            inner = lists.values.slice(low, bounds[-1] - low).cast(pa.float64())
+            known = inner.is_valid().to_numpy(zero_copy_only=False)
+            values, bounds = inner.fill_null(0.0).to_numpy(zero_copy_only=False), bounds - low
+            size = np.where(there, np.diff(bounds), 0)
+            wide = np.where(size > 0, size + k - 1, 0)
+            ends = np.concatenate([[0], np.cumsum(wide)])
+            sums, times, whole = np.zeros(ends[-1]), np.zeros(ends[-1], np.int64), np.ones(ends[-1], bool)
+            # the values of each row, from the oldest that covers a base to the newest
+            kept = np.repeat(size > 0, np.diff(bounds))
+            at = np.arange(len(values)) - np.repeat(bounds[:-1] - ends[:-1], np.diff(bounds))
+            at, values, known = at[kept], values[kept], known[kept]
+            for j in range(k - 1, -1, -1):
+                sums[at + j] += values
+                times[at + j] += 1
+                whole[at + j] &= known
+            means = pa.array(sums / np.maximum(times, 1), mask=~whole)
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), means, mask=pa.array(size == 0))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), out], names=["name", "means"])
+
+    named = seqs.select("name", counts.alias("counts"))
+    return named.mapInArrow(run, T.StructType([named.schema["name"], T.StructField("means", T.ArrayType(T.DoubleType()))]))
 
 
 def bound(value: Column, body) -> Column:
