@@ -32,11 +32,22 @@ def infidelity(hits: DataFrame, keys: list[str], snps: float = 2.0, snp_cost: fl
 
 
 def feature_hits(hits: DataFrame, features: DataFrame) -> DataFrame:
-    """Hits with the features they overlap, each feature and relative strand once a hit; strandless features count as forward."""
+    """Hits with the features they overlap, each feature and relative strand once a hit; strandless features count as forward.
+
+    Equal hits are made one before the join. Only features of several rows can then meet a hit twice, and only their
+    pairs are compared; those of other features pass on as they are joined.
+    """
     queries = hits.select("rid", "qname", "seqid", F.col("s0").alias("qs"), F.col("e0").alias("qe"), F.col("strand").alias("q_strand"), "score", "sample")
+    each = Window.partitionBy("rid", "qname", "seqid", "qs", "qe", "q_strand", "score", "sample").orderBy("rid")
+    queries = queries.withColumn("_k", F.row_number().over(each)).where("_k = 1").drop("_k")
     strand = F.when(F.coalesce("strand", F.lit(0)) == 0, 1).otherwise(F.col("strand"))
-    pairs = overlap_join(features.select("fid", "seqid", "s0", "e0", strand.alias("strand")), queries, ["seqid"])
-    return pairs.select("rid", "qname", F.col("qs").alias("s0"), F.col("qe").alias("e0"), F.col("q_strand").alias("strand"), "score", "sample", "fid", (F.col("q_strand") * F.col("strand")).alias("rel")).distinct()
+    of = features.select("fid", "seqid", "s0", "e0", strand.alias("strand")).withColumn("_n", F.count("*").over(Window.partitionBy("fid")))
+
+    def pairs(some):
+        found = overlap_join(some.drop("_n"), queries, ["seqid"])
+        return found.select("rid", "qname", F.col("qs").alias("s0"), F.col("qe").alias("e0"), F.col("q_strand").alias("strand"), "score", "sample", "fid", (F.col("q_strand") * F.col("strand")).alias("rel"))
+
+    return pairs(of.where("_n = 1")).unionByName(pairs(of.where("_n > 1")).distinct())
 
 
 def count_features(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helixframe import catalog
 from helixframe.functions import seq as sq
 from helixframe.operators import consensus as cs
+from helixframe.operators import fragments as fr
 from helixframe.operators import graph
 from helixframe.operators import intervals as iv
 from helixframe.operators import reads as rd
@@ -116,3 +117,14 @@ def test_reach_looks_into_the_last_two_steps_alone(spark, monkeypatch):
     found = graph.reachable(edges, spark.createDataFrame([(4,), (99,)], "node bigint")).collect()
     assert {r.node: r.distance for r in found} == {4: 0, 99: 0, 3: 1, 5: 1, 2: 2, 6: 2, 20: 2, 1: 3, 7: 3, 0: 4, 8: 4, 9: 5}
     assert sum(df.count() for df in kept[1:]) == len(found)
+
+
+def test_hits_meet_each_feature_once_and_pairs_are_not_all_compared(spark):
+    hits = [(1, 1, 0, 5, 9, 1, 7, "A")] * 2 + [(1, 1, 1, 5, 9, 1, 7, "A"), (2, 1, 0, 8, 30, -1, 7, None), (2, 1, 0, 8, 30, -1, 7, None)]
+    feats = [("f", 0, 0, 6, 1), ("g", 0, 0, 6, 1), ("g", 0, 7, 20, 1), ("g", 1, 0, 9, 1), ("h", 0, 8, 9, None), ("i", 0, 8, 25, -1), ("i", 0, 9, 10, -1), (None, 0, 0, 40, 0)]
+    given = spark.createDataFrame(hits, "rid int, qname int, seqid int, s0 bigint, e0 bigint, strand int, score int, sample string"), spark.createDataFrame(feats, "fid string, seqid int, s0 bigint, e0 bigint, strand int")
+    found = Counter((r.rid, r.s0, r.sample, r.fid, r.rel) for r in fr.feature_hits(*given).collect())
+    want = {(i, s, x, f, st * (fs or 1)) for i, _, q, s, e, st, _, x in hits for f, fq, a, b, fs in feats if q == fq and a < e and s < b}
+    assert set(found) == want and set(found.values()) == {1}
+    plan = fr.feature_hits(*given)._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate") and "Union" in plan
